@@ -57,8 +57,14 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 """
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing}
+    return {"op3_mixing": op3_mixing, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
