@@ -63,8 +63,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.pii import find_pii
+
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op9_packing": op9_packing}
+    return {"op3_mixing": op3_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
