@@ -7,6 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meshlark.llm.token_counts import count_tokens
+
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.mixing import mix
 
@@ -70,8 +78,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii}
+    return {"op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op2_token_counts": op2_token_counts, "op3_mixing": OP3_SQL}
