@@ -65,6 +65,12 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.toxicity import toxicity
+
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.packing import pack
 
@@ -78,7 +84,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii}
+    return {"op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op9_packing": op9_packing, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
