@@ -83,9 +83,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op9_packing": op9_packing, "op10_pii": op10_pii}
+    return {
+        "op2_token_counts": op2_token_counts,
+        "op3_mixing": op3_mixing,
+        "op4_toxicity": op4_toxicity,
+        "op5_simhash": op5_simhash,
+        "op9_packing": op9_packing,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_counts": op2_token_counts, "op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL}
