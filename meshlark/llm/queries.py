@@ -89,12 +89,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.minhash import fingerprint_with_next
+
+    return fingerprint_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op3_mixing": op3_mixing,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
+        "op6_fingerprints": op6_fingerprints,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
     }
