@@ -93,6 +93,12 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.substrings import dedup_substrings
+
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.packing import pack
 
@@ -126,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_fingerprints": op6_fingerprints,
         "op7_embeddings": op7_embeddings,
+        "op8_substrings": op8_substrings,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
     }
