@@ -41,7 +41,8 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     docs: source, size. Resharing what capped sources leave over until none is
     above its cap ends where each source has the lesser of its cap and a common
     level times its weight. With the sources sorted by cap/weight the capped
-    ones come first, and the level is the first that its successor can bear.
+    ones come first; of the levels that a source left with can bear, the highest
+    is the one at which no more sources are capped than need be.
     Only one row per source passes through the unpartitioned windows.
     """
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -53,7 +54,7 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     steps = Window.orderBy(F.col("cap") / F.col("weight"), "source_id")
     earlier, later = steps.rowsBetween(Window.unboundedPreceding, -1), steps.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     sources = sources.withColumn("level", (F.col("all_words") - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))) / F.sum("weight").over(later))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
     sources = sources.withColumn("held", F.coalesce(level, F.lit(float("inf"))))
     return sources.select("source", "source_id", "source_size", "weight", F.least(F.col("cap"), F.col("held") * F.col("weight")).alias("target"))
 

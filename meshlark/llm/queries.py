@@ -55,7 +55,7 @@ leveled AS (
   FROM weighed),
 sources AS (
   SELECT source, source_id, CAST(source_size AS BIGINT) AS source_size,
-         least(cap, coalesce(min(CASE WHEN level * w <= cap THEN level END) OVER (), 'inf'::DOUBLE) * w) AS target
+         least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER (), 'inf'::DOUBLE) * w) AS target
   FROM leveled),
 bounds AS (
   SELECT source_id, CAST(ceil(source_size / 256.0::DOUBLE) AS BIGINT) AS blocks,
@@ -123,6 +123,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -135,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 

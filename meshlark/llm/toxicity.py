@@ -233,11 +233,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 _WORDS: dict[int, WordMargins] = {}
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (doc_id if none are given) and `score`, from `text`."""
-    keep = keep or ["doc_id"]
+def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] = ("doc_id",), text_at: str | None = None) -> DataFrame:
+    """The columns `keep` of docs and `score`, from `text`. text_at: the column of `keep` that is the text, if one is."""
+    keep = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias))
     fields = [docs.schema[c] for c in keep]
+    at = keep.index(text_at) if text_at else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin, bias = shared.value
@@ -247,11 +248,11 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
             _WORDS[key] = WordMargins(margin)
         words = _WORDS[key]
         for batch in batches:
-            scores = pa.array([score(x.as_py(), words, bias) for x in batch.column(len(keep))], pa.float64())
+            scores = pa.array([score(x.as_py(), words, bias) for x in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], [*keep, "_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    scored = docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(run, f"{schema}, _score double")
+    scored = (docs.select(*keep) if text_at else docs.select(*keep, F.col("text").alias("_scored_text"))).mapInArrow(run, f"{schema}, _score double")
     return scored.withColumnRenamed("_score", "score")
 
 
