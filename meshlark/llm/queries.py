@@ -114,7 +114,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.simhash import near_duplicates
 
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,14 +60,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp of each row of docs (doc_id, text)."""
+    """doc_id, text_key (xxhash64 of the text), fp of each row of docs (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((fingerprint(x.as_py(), shingle) for x in batch.column(1)), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array((fingerprint(x.as_py(), shingle) for x in batch.column(1)), pa.int64())], ["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {id_type}, text_key long, fp long")
 
 
 def block_keys(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -184,11 +184,11 @@ def fingerprint_links(fps: DataFrame, blocks: int = BLOCKS, distance: int = DIST
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
-    """docs: doc_id, text. A row per document: doc_id, fingerprint, component_id."""
+    """docs: doc_id, text. A row per document: doc_id, fingerprint, component_id, text_key, component (a fingerprint of it)."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     components = connected_components(fingerprint_links(distinct.select("fp"), blocks, distance))
     labelled = distinct.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = labelled.join(least, "component").select("fp", "component", "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "component")
