@@ -13,8 +13,8 @@ A text of fewer than five words is one shingle; a text without words has the
 fingerprint of zeros, and its likeness to another text is 1 if that has no
 words either, else 0. Equal texts have equal fingerprints.
 
-Nulls: a null text counts as empty. Null ids come before all others. Repeated
-ids keep the order of their texts. With one row that row is its own next. An
+Nulls: a null text counts as empty. Null ids come before all others. Rows
+alike in id follow the order of their texts' xxhash64. With one row that row is its own next. An
 empty table gives an empty result.
 """
 
@@ -207,7 +207,8 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     of two rows a range.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))  # range bounds are sampled on the driver: no texts there
+    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     read = materialize(ordered.mapInArrow(_read_range, f"doc_id {id_type}, {_SCHEMA}, text string, role int, part int"), "minhash")
     done = read.where("role = 0").select("doc_id", *NAMES)
     firsts, lasts = read.where("role = 1").select("part", F.col("text").alias("after")), read.where("role = 2").select("part", "doc_id", "text")
