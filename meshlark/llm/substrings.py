@@ -44,6 +44,7 @@ CELLS_PER_BYTE = 0.4
 MOST_CELLS = 1 << 30
 SLABS = 64
 CHUNK_WORDS = 2_000_000
+SKETCH_WORDS = 5_000_000
 GROUP_BYTES = 1 << 20
 SHARD_BYTES = 12_000_000
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -58,10 +59,10 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 class Chunk:
-    """Windows of some documents: hash, second hash, document, position."""
+    """Windows of some documents: hash and, unless only that is asked for, second hash, document, position."""
 
-    def __init__(self, window: int):
-        self.window, self.parts, self.words = window, [], 0
+    def __init__(self, window: int, only_hash: bool = False):
+        self.window, self.only_hash, self.parts, self.words = window, only_hash, [], 0
         self.ids: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.documents = 0
@@ -84,13 +85,17 @@ class Chunk:
                 owner = np.repeat(np.arange(len(texts)), many)
                 inside = np.flatnonzero((np.repeat(many, many) - position >= self.window)[:n])
                 one = shingle_hashes(hashes, self.window)[inside]
+                if self.only_hash:
+                    self.parts.append((one,))
+                    self.documents += len(texts)
+                    return
                 two = np.zeros(n, np.uint64)
                 for i in range(self.window):
                     two = two * _SECOND + hashes[i : i + n]
                 two = (_mixed(two[inside]) >> np.uint64(48)).astype(np.uint16)
                 self.parts.append((one, two, (owner[inside] + self.documents).astype(np.int32), position[inside].astype(np.int32)))
         self.ids.append(np.array([_NO_ID if i is None else i for i in ids], np.int64))
-        self.keys.append(np.array(keys, np.int64))
+        self.keys.append(np.array(keys, np.int32))
         self.documents += len(texts)
 
     def windows(self) -> list[np.ndarray]:
@@ -99,9 +104,10 @@ class Chunk:
         return [np.concatenate(x) for x in zip(*self.parts, strict=True)]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Chunk]:
-    """Chunks of about CHUNK_WORDS words from batches (doc_id, text, key)."""
-    chunk, ids, keys, texts, size = Chunk(window), [], [], [], 0
+def chunks(batches: Iterator[pa.RecordBatch], window: int, only_hash: bool = False) -> Iterator[Chunk]:
+    """Chunks of about CHUNK_WORDS words, SKETCH_WORDS for the sketch, from batches (doc_id, text, key)."""
+    chunk, ids, keys, texts, size = Chunk(window, only_hash), [], [], [], 0
+    most = SKETCH_WORDS if only_hash else CHUNK_WORDS
     for batch in batches:
         for i, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
@@ -112,9 +118,9 @@ def chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Chunk]:
             if size >= GROUP_BYTES:
                 chunk.add(ids, keys, texts)
                 ids, keys, texts, size = [], [], [], 0
-                if chunk.words >= CHUNK_WORDS:
+                if chunk.words >= most:
                     yield chunk
-                    chunk = Chunk(window)
+                    chunk = Chunk(window, only_hash)
     if texts:
         chunk.add(ids, keys, texts)
     if chunk.documents:
@@ -122,15 +128,17 @@ def chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Chunk]:
 
 
 def coded(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending numbers as differences: a byte each, 255 for those that stand in the second list."""
+    """Ascending numbers as differences: a byte each, 255 for those that stand in the second list, of 2 or 4 bytes."""
     steps = np.diff(values, prepend=values.dtype.type(0)) if len(values) else values
     wide = steps >= 255
-    return np.where(wide, 255, steps).astype(np.uint8).tobytes(), steps[wide].astype(np.uint32).tobytes()
+    rest = steps[wide]
+    return np.where(wide, 255, steps).astype(np.uint8).tobytes(), rest.astype(np.uint16 if rest.max(initial=0) < 65536 else np.uint32).tobytes()
 
 
 def decoded(steps: bytes, wide: bytes) -> np.ndarray:
     out = np.frombuffer(steps, np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(wide, np.uint32)
+    escaped = np.flatnonzero(out == 255)
+    out[escaped] = np.frombuffer(wide, np.uint16 if len(wide) == 2 * len(escaped) else np.uint32)
     return np.cumsum(out)
 
 
@@ -139,7 +147,7 @@ def sketch(docs: DataFrame, width: int, window: int = WINDOW) -> list[bytes]:
     slab = -(-width // SLABS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, window):
+        for chunk in chunks(batches, window, only_hash=True):
             hashes = chunk.windows()[0]
             for row in range(ROWS):
                 met = np.sort(cells(hashes, row, width))
@@ -245,39 +253,68 @@ def candidates(docs: DataFrame, rows: list[bytes], width: int, shards: int, wind
     return docs.mapInArrow(find, _ENTRY)
 
 
-def _resolve(key, table):
-    """Windows of a shard that a smaller document has: id, key and positions, a row a document."""
-    ids, keys, positions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    open_rows = []
-    for settled, i, k, sizes, one, two, position in zip(*[table.column(c).to_pylist() for c in ("settled", "ids", "keys", "sizes", "one", "two", "positions")], strict=True):
+def _unpacked(table: pa.Table, *more: str) -> Iterator[tuple]:
+    """Rows of runs as arrays: id, key and position of each window, then the columns `more` as they are."""
+    for i, k, sizes, position, *rest in zip(*[table.column(c).to_pylist() for c in ("ids", "keys", "sizes", "positions", *more)], strict=True):
         sizes = np.frombuffer(sizes, np.int32)
-        i, k, p = np.repeat(np.frombuffer(i, np.int64), sizes), np.repeat(np.frombuffer(k, np.int64), sizes), _positions(position, int(sizes.sum()))
-        if settled:
-            ids.append(i)
-            keys.append(k)
-            positions.append(p)
-        else:
-            open_rows.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint16), i, k, p))
-    if open_rows:
-        one, two, i, k, p = (np.concatenate(x) for x in zip(*open_rows, strict=True))
-        order = np.lexsort((i, two, one))
-        one, two, i, k, p = one[order], two[order], i[order], k[order], p[order]
-        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        later = i > i[np.flatnonzero(new)][np.cumsum(new) - 1]
-        ids.append(i[later])
-        keys.append(k[later])
-        positions.append(p[later])
-    ids, keys, positions = np.concatenate(ids), np.concatenate(keys), np.concatenate(positions)
+        yield np.repeat(np.frombuffer(i, np.int64), sizes), np.repeat(np.frombuffer(k, np.int32), sizes), _positions(position, int(sizes.sum())), *rest
+
+
+_FOUND = "bucket int, ids binary, keys binary, sizes binary, positions binary"
+
+
+def _resolve(buckets: int):
+    """Windows of a shard that a smaller document has, as runs by buckets of their documents: a row a bucket, not one a document."""
+
+    def run(key, table):
+        ids, keys, positions, open_rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+        for i, k, p, settled, one, two in _unpacked(table, "settled", "one", "two"):
+            if settled:
+                ids.append(i)
+                keys.append(k)
+                positions.append(p)
+            else:
+                open_rows.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint16), i, k, p))
+        if open_rows:
+            one, two, i, k, p = (np.concatenate(x) for x in zip(*open_rows, strict=True))
+            order = np.lexsort((i, two, one))
+            one, two, i, k, p = one[order], two[order], i[order], k[order], p[order]
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            later = i > i[np.flatnonzero(new)][np.cumsum(new) - 1]
+            ids.append(i[later])
+            keys.append(k[later])
+            positions.append(p[later])
+        ids, keys, positions = np.concatenate(ids), np.concatenate(keys), np.concatenate(positions)
+        bucket = keys.view(np.uint32) % np.uint32(buckets)
+        order = np.lexsort((positions, keys, ids, bucket))
+        ids, keys, positions, bucket = ids[order], keys[order], positions[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = []
+        for b in np.unique(bucket).tolist():
+            own = slice(edges[b], edges[b + 1])
+            i, k, p = ids[own], keys[own], positions[own]
+            new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])]))
+            sizes = np.diff(np.concatenate([new, [len(i)]])).astype(np.int32)
+            small = p.astype(np.uint16) if p.max() < 65536 else p
+            rows.append((b, i[new].tobytes(), k[new].tobytes(), sizes.tobytes(), small.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "ids", "keys", "sizes", "positions"])
+
+    return run
+
+
+def _gather(key, table):
+    """Runs of a bucket as a row a document: id, key, positions."""
+    ids, keys, positions = (np.concatenate(x) for x in zip(*_unpacked(table), strict=True))
     order = np.lexsort((positions, keys, ids))
     ids, keys, positions = ids[order], keys[order], positions[order]
-    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    ends = [*new[1:].tolist(), len(ids)]
-    own = ids[new]
-    return pa.table({"id": pa.array(own, mask=own == _NO_ID), "key": pa.array(keys[new]), "positions": pa.array([positions[a:b].tobytes() for a, b in zip(new.tolist(), ends, strict=False)], pa.binary())})
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+    ends, own = [*new[1:].tolist(), len(ids)], ids[new]
+    return pa.table({"id": pa.array(own, mask=own == _NO_ID), "key": pa.array(keys[new]), "positions": pa.array([np.unique(positions[a:b]).tobytes() for a, b in zip(new.tolist(), ends, strict=True)], pa.binary())})
 
 
 def _strip(window: int):
-    """Rows (doc_id, text, list of positions): what is left of each text."""
+    """Rows (doc_id, text, positions): what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,11 +323,9 @@ def _strip(window: int):
                 words = (text.as_py() or "").encode().split()
                 gone = 0
                 if found.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    for data in found.as_py():
-                        at = np.frombuffer(data, np.int32)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, np.minimum(at + window, len(words)), -1)
+                    edge, at = np.zeros(len(words) + 1, np.int32), np.frombuffer(found.as_py(), np.int32)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, np.minimum(at + window, len(words)), -1)
                     stays = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(stays.sum())
                     words_kept = [words[i] for i in np.flatnonzero(stays).tolist()]
@@ -312,14 +347,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     width = min(MOST_CELLS, max(1024, math.ceil(n_bytes * CELLS_PER_BYTE)))
     shards = max(1, math.ceil(n_bytes / SHARD_BYTES))
     let_through = candidates(docs, sketch(docs, width, window), width, shards, window)
-    return let_through.groupBy("shard").applyInArrow(_resolve, "id long, key long, positions binary")
+    found = let_through.groupBy("shard").applyInArrow(_resolve(shards), _FOUND)
+    return found.groupBy("bucket").applyInArrow(_gather, "id long, key int, positions binary")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs: doc_id, text. A row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    keyed = docs.select("doc_id", "text", F.hash("text").alias("key"))
     found = repeated_windows(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), window)
-    found = found.groupBy("id", "key").agg(F.collect_list("positions").alias("positions")).withColumnRenamed("key", "found_key")
+    found = found.withColumnRenamed("key", "found_key")
     joined = keyed.join(found, (F.col("key") == F.col("found_key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select("doc_id", "text", "positions").mapInArrow(_strip(window), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
