@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _LEAST = -(2**63)
@@ -209,7 +210,7 @@ def trim_right(s) -> Column:
     return F.rtrim(_c(s), F.lit(" \t\n\r"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _normalised(text: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or f not in ("NFC", "NFD", "NFKC", "NFKD") else unicodedata.normalize(f, t) for t, f in zip(text, form, strict=True)], dtype=object)
 

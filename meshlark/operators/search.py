@@ -34,7 +34,11 @@ def search_ranked(df: DataFrame, key: str, text: str, query: str, k1: float = 1.
     """
     wanted = [r for r in query_terms(df.sparkSession, query)]
     read = df.select(key, tokens(F.col(text)).alias("_t"))
-    hits = {term: F.size(F.filter("_t", lambda x, term=term: x == term)).cast("double") for term in dict.fromkeys(wanted)}
+
+    def hits_of(term: str) -> Column:
+        return F.size(F.filter("_t", lambda x: x == term)).cast("double")
+
+    hits = {term: hits_of(term) for term in dict.fromkeys(wanted)}
     names = {term: f"_tf{i}" for i, term in enumerate(hits)}
     counted = read.select(key, F.size("_t").cast("double").alias("_len"), *[hits[t].alias(names[t]) for t in hits])
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"_df{c}") for c in names.values()])
