@@ -75,6 +75,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _cosine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Product over the product of the norms; scaled first where squares leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        out = (p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1)))
+    odd = ~np.isfinite(out)
+    if odd.any():
+        out[odd] = (_unit(p[odd]) * _unit(q[odd])).sum(1)
+    return out
+
+
 def steps(dim: int) -> list[int]:
     """Numbers of leading dimensions after which pairs are let go."""
     return sorted({max(1, dim * 3 // 8), max(1, dim * 5 // 8), dim})
@@ -140,9 +150,7 @@ def tile_links(a: Tiles, i: int, b: Tiles, j: int, threshold: float) -> tuple[np
             x, y, total, done = x[alive], y[alive], total[alive], m
         close = np.flatnonzero(np.abs(total - threshold) <= NEAR)
         if len(close):
-            p, q = a.raw[x[close]], b.raw[y[close]]
-            p, q = p / np.abs(p).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
-            total[close] = (p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1)))
+            total[close] = _cosine(a.raw[x[close]], b.raw[y[close]])
         linked = total >= threshold
         out_r.append(x[linked])
         out_c.append(y[linked])

@@ -42,7 +42,7 @@ WINDOW = 13
 ROWS = 2
 CELLS_PER_BYTE = 0.4
 MOST_CELLS = 1 << 30
-SLABS = 64
+SLAB_CELLS = 1 << 21
 CHUNK_WORDS = 2_000_000
 SKETCH_WORDS = 5_000_000
 GROUP_BYTES = 1 << 20
@@ -51,6 +51,12 @@ _SECOND = np.uint64(0xA0761D6478BD642F)
 _NO_ID = np.iinfo(np.int64).max
 
 
+def slabs_of(width: int) -> tuple[int, int]:
+    """Cells of a slab, and how many slabs a row of the sketch has: at least 16, more as it widens."""
+    slab = min(SLAB_CELLS, -(-width // 16))
+    return slab, -(-width // slab)
+
+
 def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     """Cell of each hash in a row of the sketch, evenly over the width."""
     salt = np.uint64((row + 1) * 0x9E3779B97F4A7C15 % 2**64)
@@ -144,7 +150,7 @@ def decoded(steps: bytes, wide: bytes) -> np.ndarray:
 
 def sketch(docs: DataFrame, width: int, window: int = WINDOW) -> list[bytes]:
     """Merged sketch, a string of bits a row: whether two or more windows fell into a cell. docs: doc_id, text, key."""
-    slab = -(-width // SLABS)
+    slab, slabs = slabs_of(width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, window, only_hash=True):
@@ -156,11 +162,11 @@ def sketch(docs: DataFrame, width: int, window: int = WINDOW) -> list[bytes]:
                 new = np.concatenate([[True], met[1:] != met[:-1]])
                 again = np.unique(met[~new])
                 met = met[new]
-                edges = np.arange(SLABS + 1, dtype=np.int64) * slab
+                edges = np.arange(slabs + 1, dtype=np.int64) * slab
                 once, twice = np.searchsorted(met, edges), np.searchsorted(again, edges)
-                out = [(*coded(met[once[s] : once[s + 1]] - np.uint32(edges[s])), *coded(again[twice[s] : twice[s + 1]] - np.uint32(edges[s]))) for s in range(SLABS)]
+                out = [(*coded(met[once[s] : once[s + 1]] - np.uint32(edges[s])), *coded(again[twice[s] : twice[s + 1]] - np.uint32(edges[s]))) for s in range(slabs)]
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLABS) + row * SLABS, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["slab", "once", "once_wide", "twice", "twice_wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(slabs) + row * slabs, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["slab", "once", "once_wide", "twice", "twice_wide"])
 
     def merge(key, batches):
         counts = np.zeros(slab, np.uint8)
@@ -177,14 +183,14 @@ def sketch(docs: DataFrame, width: int, window: int = WINDOW) -> list[bytes]:
     met = docs.mapInArrow(count, "slab int, once binary, once_wide binary, twice binary, twice_wide binary")
     rows = {r["slab"]: r["bits"] for r in met.groupBy("slab").applyInArrow(merge_table, "slab int, bits binary").toLocalIterator()}
     empty = np.packbits(np.zeros(slab, bool)).tobytes()
-    return [b"".join(rows.get(row * SLABS + s, empty) for s in range(SLABS)) for row in range(ROWS)]
+    return [b"".join(rows.get(row * slabs + s, empty) for s in range(slabs)) for row in range(ROWS)]
 
 
 class Sketch:
     """The bits of the merged sketch, as the second pass asks them."""
 
     def __init__(self, rows: list[bytes], width: int):
-        self.rows, self.width, self.slab = [np.frombuffer(r, np.uint8) for r in rows], width, -(-width // SLABS)
+        self.rows, self.width, self.slab = [np.frombuffer(r, np.uint8) for r in rows], width, slabs_of(width)[0]
         self.slab_bytes = -(-self.slab // 8)
 
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
