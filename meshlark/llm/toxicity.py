@@ -119,24 +119,26 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = 1) -> Model:
     """Joint training of embeddings and softmax."""
+    # Texts are read twice, for the words' numbers of documents and for the bags, so that only short arrays are held.
+    seen = Counter(w for t in texts for w in bag(t))
     ids: dict[str, int] = {}
-    word_of, share, sizes, target = [], [], [], []
-    bags = [bag(t) for t in texts]
-    seen = Counter(w for b in bags for w in b)
-    for counts, label in zip(bags, labels, strict=True):
+    of_doc, part, sizes, target = [], [], [], []
+    for text, label in zip(texts, labels, strict=True):
+        counts = bag(text)
+        counts = {w: n for w, n in counts.items() if seen[w] >= LEAST} or counts
         if counts:
-            total = sum(counts.values())
-            counts = {w: n for w, n in counts.items() if seen[w] >= LEAST} or counts
-            for w, n in counts.items():
-                word_of.append(ids.setdefault(w, len(ids)))
-                share.append(n / total)
+            weights = np.array([weight(n) for n in counts.values()], np.float32)
+            of_doc.append(np.array([ids.setdefault(w, len(ids)) for w in counts], np.int32))
+            part.append(weights / weights.sum())
             sizes.append(len(counts))
             target.append(label)
+    del seen
     if not sizes or len(set(target)) < 2:
         toxic = sum(labels) / len(labels) if labels else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((toxic + 1e-9) / (1 - toxic + 1e-9))))
-    word_of, share = np.array(word_of), np.array(share, np.float32)
-    doc_of, doc_at = np.repeat(np.arange(len(sizes)), sizes), _ranges(np.array(sizes))
+    word_of, share = np.concatenate(of_doc), np.concatenate(part)
+    del of_doc, part
+    doc_of, doc_at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), _ranges(np.array(sizes))
     gram_of, n_grams = subwords(list(ids))
     gram_at = _ranges(n_grams)
     used, gram_of = np.unique(gram_of, return_inverse=True)
@@ -225,9 +227,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.drop_duplicates().sort_values(["doc_id", "text"], kind="stable")
-    return train(rows["text"].tolist(), [int(x > 0) for x in rows["toxic"]])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = {(r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.toLocalIterator()}
+    ordered = sorted(found)
+    del found
+    return train([t for _, t, _ in ordered], [int(y > 0) for _, _, y in ordered])
 
 
 _WORDS: dict[int, WordMargins] = {}
