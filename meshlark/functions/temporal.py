@@ -24,7 +24,7 @@ def component(millis: Column, unit: str) -> Column:
 
 def from_parts(year, month, day, hour=0, minute=0, second=0, millisecond=0) -> Column:
     """Epoch milliseconds; null for parts out of range. Days up to 31 pass in every month and run over."""
-    y, m, d, h, mi, s, ms = (c if isinstance(c, Column) else F.lit(c) for c in (year, month, day, hour, minute, second, millisecond))
+    y, m, d, h, mi, s, ms = ((c if isinstance(c, Column) else F.lit(c)).cast("long") for c in (year, month, day, hour, minute, second, millisecond))
     fine = m.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59) & ms.between(0, 999) & y.between(1, 9999)
     first = F.when(fine, F.make_date(F.when(fine, y).cast("int"), F.when(fine, m).cast("int"), F.lit(1)))
     return F.unix_date(first).cast("long") * DAY + (d - 1) * DAY + h * 3_600_000 + mi * 60_000 + s * 1000 + ms

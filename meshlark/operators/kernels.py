@@ -107,3 +107,33 @@ def hop_counts(graph: PropertyGraph, starts: DataFrame, steps: list[Step]) -> Da
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group: a LIMIT inside a per-row subquery."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
+
+
+def rels_between(graph: PropertyGraph, u: int, v: int, types: str | list[str] | None = None, direction: str = "out") -> DataFrame:
+    """pos of every relationship from u to v; their number is the count of parallel ones."""
+    return graph.rel_scan(types, direction, None).where((F.col("frm") == u) & (F.col("to") == v)).select("pos")
+
+
+def has_rel(graph: PropertyGraph, u: int, v: int, types: str | list[str] | None = None, direction: str = "out") -> bool:
+    return not rels_between(graph, u, v, types, direction).isEmpty()
+
+
+def neighbors(graph: PropertyGraph, node: int, types: str | list[str] | None = None, direction: str = "out") -> DataFrame:
+    """node, once for each relationship that leads to it."""
+    return graph.rel_scan(types, direction).where(F.col("frm") == node).select(F.col("to").alias("node"))
+
+
+def neighbors_in(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """frm, to: edges that lead into a set of nodes (id)."""
+    return edges.join(wanted.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("frm", "to")
+
+
+def nodes_with_neighbor(edges: DataFrame, fitting: DataFrame) -> DataFrame:
+    """id of the nodes with a neighbour among `fitting` (id)."""
+    return neighbors_in(edges, fitting).select(F.col("frm").alias("id")).distinct()
+
+
+def neighbor_fold(edges: DataFrame, values: DataFrame, fold: Column) -> DataFrame:
+    """node, value: an aggregate over the values of all neighbours. values: id and columns that `fold` reads."""
+    named = values.withColumnRenamed("id", "to")
+    return edges.select("frm", "to").join(named, "to").groupBy(F.col("frm").alias("node")).agg(fold.alias("value"))

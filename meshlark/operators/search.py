@@ -23,8 +23,9 @@ def search_all(df: DataFrame, text: str, query: str) -> DataFrame:
 
 def term_counts(df: DataFrame, text: str) -> DataFrame:
     """term, docs, occurrences."""
-    words = df.select(F.explode(tokens(F.col(text))).alias("term"), F.monotonically_increasing_id().alias("_row"))
-    return words.groupBy("term", "_row").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("occurrences"))
+    words = df.select(tokens(F.col(text)).alias("_t")).withColumn("_d", F.array_distinct("_t"))
+    counted = words.select(F.explode("_d").alias("term"), "_t").select("term", F.size(F.filter("_t", lambda x: x == F.col("term"))).alias("n"))
+    return counted.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").cast("long").alias("occurrences"))
 
 
 def search_ranked(df: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

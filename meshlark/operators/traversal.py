@@ -158,3 +158,23 @@ def can_reach(source: int, target: int, edges: DataFrame) -> bool:
     spark = edges.sparkSession
     pairs = spark.createDataFrame([(source, target)], "start long, target long")
     return not bfs_distances(pairs.select("start"), edges, None, pairs).where(F.col("node") == target).isEmpty()
+
+
+def visited_rels(source: int, edges: DataFrame, high: int | None = None) -> DataFrame:
+    """pos of the edges over which a search from the source first meets nodes or comes back to ones it has met. edges: frm, to, pos."""
+    spark = edges.sparkSession
+    found = bfs_distances(spark.createDataFrame([(source,)], "start long"), edges, high)
+    inner = found if high is None else found.where(F.col("dist") < high)
+    return edges.join(inner.select(F.col("node").alias("frm")), "frm", "left_semi").select("pos").distinct()
+
+
+def meeting(source: int, target: int, edges: DataFrame, high: int | None = None) -> DataFrame:
+    """node, there, back: nodes on shortest ways from source to target, with their distances to both."""
+    spark = edges.sparkSession
+    one = lambda x: spark.createDataFrame([(x,)], "start long")
+    there = bfs_distances(one(source), edges, high).select("node", F.col("dist").alias("there"))
+    turned = edges.select(F.col("to").alias("frm"), F.col("frm").alias("to"))
+    back = bfs_distances(one(target), turned, high).select("node", F.col("dist").alias("back"))
+    both = materialize(there.join(back, "node"), "meeting")
+    least = both.agg(F.min(F.col("there") + F.col("back")).alias("d"))
+    return both.crossJoin(F.broadcast(least)).where(F.col("there") + F.col("back") == F.col("d")).select("node", "there", "back")

@@ -90,14 +90,15 @@ def _literal(c: str, kind: str):
     return F.concat(F.lit('"'), escape(F.col(c).cast("string")), F.lit(f'"^^<{XSD}{suffix}>' if suffix else '"'))
 
 
-def write_graph(graph: PropertyGraph, path: str, base: str = "urn:g:", compress: bool = False) -> None:
+def write_graph(graph: PropertyGraph, path: str, base: str = "urn:g/", compress: bool = False) -> None:
     """Statements in one order: by node, then relationship; `uri` names a node that has it."""
     node = F.coalesce("uri", F.concat(F.lit(base), F.lit("n/"), F.col("id").cast("string"))) if "uri" in graph.nodes.columns else F.concat(F.lit(base), F.lit("n/"), F.col("id").cast("string"))
     named = graph.nodes.withColumn("_iri", node)
     iri = lambda name: F.concat(F.lit(f"<{base}"), name, F.lit(">"))
     triple = lambda s, p, o: F.concat_ws(" ", s, p, o, F.lit("."))
     s = F.concat(F.lit("<"), F.col("_iri"), F.lit(">"))
-    lines = [named.select(F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("pos"), triple(s, F.lit(f"<{RDF_TYPE}>"), iri(F.explode("labels"))).alias("value"))]
+    typed = named.withColumn("_label", F.explode("labels"))
+    lines = [typed.select(F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("pos"), triple(s, F.lit(f"<{RDF_TYPE}>"), iri(F.col("_label"))).alias("value"))]
     for name, kind in graph.nodes.dtypes:
         if name not in ("id", "labels", "uri"):
             lines.append(named.where(F.col(f"`{name}`").isNotNull()).select(F.lit(0), "id", F.lit(0).cast("long"), triple(s, iri(F.lit(name)), _literal(f"`{name}`", kind))))
