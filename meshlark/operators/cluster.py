@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,20 +32,30 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, counted: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it again.
 
     Lineage ends there: an executor that is lost later costs a re-read of a
-    file, not a recomputation, and what was decided once stays decided.
+    file, not a recomputation, and what was decided once stays decided. counted:
+    the write counts the rows on its way, for `is_empty`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    seen = Observation() if counted else None
+    (df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._meshlark_path = path
+    if counted:
+        out._meshlark_rows = seen.get["n"]
     return out
 
 
+def is_empty(df: DataFrame) -> bool:
+    """Whether there is no row; known without a job for what was counted when written."""
+    rows = getattr(df, "_meshlark_rows", None)
+    return df.isEmpty() if rows is None else rows == 0
+
+
 def discard(df: DataFrame) -> None:
     """Remove what `materialize` wrote for `df`, once nothing reads it."""
     path = getattr(df, "_meshlark_path", None)

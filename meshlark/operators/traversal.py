@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.operators.cluster import materialize
+from meshlark.operators.cluster import is_empty, materialize
 
 FAR = 2**63 - 1
 
@@ -30,8 +30,8 @@ def reachable(starts: DataFrame, edges: DataFrame, low: int = 0, high: int | Non
     depth = 0
     while high is None or depth < high:
         depth += 1
-        met = materialize(frontier.join(edges, F.col("node") == F.col("frm")).select("start", F.col("to").alias("node")).distinct(), "reach-met")
-        if met.isEmpty():
+        met = materialize(frontier.join(edges, F.col("node") == F.col("frm")).select("start", F.col("to").alias("node")).distinct(), "reach-met", True)
+        if is_empty(met):
             break
         if depth >= low:
             new = met.withColumn("depth", F.lit(depth))
@@ -40,8 +40,8 @@ def reachable(starts: DataFrame, edges: DataFrame, low: int = 0, high: int | Non
             emitted.append(materialize(new, "reach-emitted"))
             if len(emitted) > 8:
                 emitted = [materialize(reduce(DataFrame.unionByName, emitted), "reach-emitted")]
-        frontier = materialize(met.join(expanded, ["start", "node"], "left_anti"), "reach")
-        if frontier.isEmpty():
+        frontier = materialize(met.join(expanded, ["start", "node"], "left_anti"), "reach", True)
+        if is_empty(frontier):
             break
         expanded = materialize(expanded.unionByName(frontier), "reach-expanded")
     empty = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).limit(0)
@@ -60,8 +60,8 @@ def bfs_distances(sources: DataFrame, edges: DataFrame, high: int | None = None,
             live = live.join(open_starts, "start", "left_semi")
         met = live.join(edges, F.col("node") == F.col("frm")).groupBy("start", F.col("to").alias("_to")).agg(F.min("node").alias("parent"))
         new = met.select("start", F.col("_to").alias("node"), F.lit(depth).alias("dist"), "parent").join(found.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = materialize(new, "bfs")
-        if frontier.isEmpty():
+        frontier = materialize(new, "bfs", True)
+        if is_empty(frontier):
             break
         found = materialize(found.unionByName(frontier), "bfs-found")
     return found

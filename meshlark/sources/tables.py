@@ -25,9 +25,31 @@ def _nodes(df: DataFrame, label: str, key: str, **props: str) -> tuple[str, Data
     return label, df.select(node_id(label, key).alias("id"), F.col(key).cast("long").alias("key"), *[F.expr(e).alias(name) for name, e in props.items()])
 
 
+#: Schemas are given, not inferred: opening the graph reads no footer.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+_OPENED: dict[tuple, PropertyGraph] = {}
+
+
 def commerce_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Scans only what a query uses: labels and types are literals of their branch."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
+    """Scans only what a query uses: labels and types are literals of their branch. A session opens a folder once."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _OPENED:
+        _OPENED.clear()
+        _OPENED[key] = _open(spark, sf_dir)
+    return _OPENED[key]
+
+
+def _open(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    t = {n: spark.read.schema(schema).parquet(f"{sf_dir}/{n}.parquet") for n, schema in SCHEMAS.items()}
     nodes = [
         _nodes(t["region"], "Region", "r_regionkey", name="r_name"),
         _nodes(t["nation"], "Nation", "n_nationkey", name="n_name"),
