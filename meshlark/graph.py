@@ -166,10 +166,17 @@ class PropertyGraph:
     def add_rels(self, rels: DataFrame) -> PropertyGraph:
         return self._removed(self.nodes, self.rels.unionByName(_blank_is_absent(rels, REL_COLUMNS), allowMissingColumns=True))
 
+    @staticmethod
+    def _updated(df: DataFrame, by: str, key: str, writes: DataFrame) -> DataFrame:
+        last = Window.partitionBy(by).orderBy(F.col("seq").desc())
+        final = writes.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").select(by, F.col("value").alias("_new"), F.lit(True).alias("_written"))
+        old = F.col(key) if key in df.columns else F.lit(None)
+        return df.join(final, by, "left").withColumn(key, F.when(F.col("_written"), F.col("_new")).otherwise(old)).drop("_new", "_written")
+
     def update_property(self, key: str, writes: DataFrame) -> PropertyGraph:
         """Node property `key` from writes (id, value, seq): the write with the highest seq wins; a null value removes."""
-        last = Window.partitionBy("id").orderBy(F.col("seq").desc())
-        final = writes.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").select("id", F.col("value").alias("_new"), F.lit(True).alias("_written"))
-        old = F.col(key) if key in self.nodes.columns else F.lit(None)
-        nodes = self.nodes.join(final, "id", "left").withColumn(key, F.when(F.col("_written"), F.col("_new")).otherwise(old)).drop("_new", "_written")
-        return self._removed(_blank_is_absent(nodes, NODE_COLUMNS), self.rels)
+        return self._removed(_blank_is_absent(self._updated(self.nodes, "id", key, writes), NODE_COLUMNS), self.rels)
+
+    def update_rel_property(self, key: str, writes: DataFrame) -> PropertyGraph:
+        """Relationship property `key` from writes (pos, value, seq), likewise."""
+        return self._removed(self.nodes, _blank_is_absent(self._updated(self.rels, "pos", key, writes), REL_COLUMNS))

@@ -157,5 +157,7 @@ def test_edits(spark, g):
     writes = spark.createDataFrame([(0, 31, 1), (0, 32, 2), (1, None, 1)], "id long, value long, seq long")
     ages = {r.id: r.age for r in g.update_property("age", writes).nodes.collect()}
     assert ages[0] == 32 and ages[1] is None and ages[2] == 40
+    since = g.update_rel_property("since", spark.createDataFrame([(0, 1999, 1), (0, 2001, 2)], "pos long, value long, seq long"))
+    assert [r.since for r in since.rels.orderBy("pos").limit(2).collect()] == [2001, None]
     assert {r.degree for r in g.degrees("WORKS_AT").collect()} == {0, 1}
     assert g.average_degree("KNOWS", label="Person").collect()[0].avg_degree == 7 / 4
