@@ -66,12 +66,16 @@ class PropertyGraph:
         return cls(nodes, rels, version)
 
     @classmethod
-    def from_parts(cls, nodes: list[tuple[str | list[str], DataFrame]], rels: list[tuple[str, DataFrame]], version: str | None = None) -> PropertyGraph:
-        """From a frame for each label (id, properties) and each type (pos, src, dst, properties); names are unioned."""
+    def from_parts(cls, nodes: list[tuple[str | list[str], DataFrame]], rels: list[tuple[str, DataFrame]], version: str | None = None, blanks: bool = True) -> PropertyGraph:
+        """From a frame for each label (id, properties) and each type (pos, src, dst, properties); names are unioned.
+
+        blanks=False takes texts as they are: equality on them then reaches the scan.
+        """
         labelled = [df.withColumn("labels", F.array(*[F.lit(x) for x in sorted([names] if isinstance(names, str) else names)])) for names, df in nodes]
         typed = [df.withColumn("type", F.lit(name)) for name, df in rels]
         union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        return cls(_blank_is_absent(union(labelled), NODE_COLUMNS), _blank_is_absent(union(typed), REL_COLUMNS), version)
+        nodes_, rels_ = union(labelled), union(typed)
+        return cls(_blank_is_absent(nodes_, NODE_COLUMNS), _blank_is_absent(rels_, REL_COLUMNS), version) if blanks else cls(nodes_, rels_, version)
 
     # Scans
 

@@ -46,13 +46,17 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Dat
 
 
 class Bindings:
-    """Matches so far. Steps return new Bindings."""
+    """Matches so far. Steps return new Bindings.
 
-    def __init__(self, graph: PropertyGraph, df: DataFrame | None, hops: tuple = (), repeatable: bool = False):
-        self.graph, self.df, self.hops, self.repeatable = graph, df, hops, repeatable
+    unique: a variable of which no two rows have the same value, if one is known;
+    subqueries that depend on it need no DISTINCT.
+    """
 
-    def _with(self, df: DataFrame, hops: tuple | None = None) -> Bindings:
-        return Bindings(self.graph, df, self.hops if hops is None else hops, self.repeatable)
+    def __init__(self, graph: PropertyGraph, df: DataFrame | None, hops: tuple = (), repeatable: bool = False, unique: str | None = None):
+        self.graph, self.df, self.hops, self.repeatable, self.unique = graph, df, hops, repeatable, unique
+
+    def _with(self, df: DataFrame, hops: tuple | None = None, unique: str | None = None) -> Bindings:
+        return Bindings(self.graph, df, self.hops if hops is None else hops, self.repeatable, unique)
 
     @property
     def columns(self) -> list[str]:
@@ -65,17 +69,17 @@ class Bindings:
         found = self.graph.node_scan(label, where, **values)
         found = found.select(F.col("id").alias(var), *[F.col(p).alias(f"{var}_{p}") for p in props])
         if self.df is None:
-            return self._with(found)
+            return self._with(found, unique=var)
         if var in self.df.columns:
             if not props and label is None and where is None and not values:
                 return self
-            return self._with(self.df.drop(*[f"{var}_{p}" for p in props]).join(found, var))
+            return self._with(self.df.drop(*[f"{var}_{p}" for p in props]).join(found, var), unique=self.unique)
         return self._with(self.df.crossJoin(found))
 
     def props(self, var: str, *names: str) -> Bindings:
         """Properties of a bound node; a null node, from an optional part, has null properties."""
         found = self.graph.nodes.select(F.col("id").alias(var), *[F.col(p).alias(f"{var}_{p}") for p in names])
-        return self._with(self.df.join(found, var, "left"))
+        return self._with(self.df.join(found, var, "left"), unique=self.unique)
 
     def hop(self, frm: str, types: str | list[str] | None, to: str, direction: str = OUT, rel: str | None = None, props: tuple[str, ...] = (), where: Column | None = None, label: str | Column | None = None, **values) -> Bindings:
         """One relationship from a bound node; to a new node or, closing a cycle, to a bound one. Parallel relationships give a row each."""
@@ -155,11 +159,11 @@ class Bindings:
 
     def where(self, condition: Column) -> Bindings:
         """Rows for which the condition holds; null does not."""
-        return self._with(self.df.where(condition))
+        return self._with(self.df.where(condition), unique=self.unique)
 
     def let(self, **columns: Column) -> Bindings:
         """New columns; all see the columns before."""
-        return self._with(self.df.withColumns(columns))
+        return self._with(self.df.withColumns(columns), unique=None if self.unique in columns else self.unique)
 
     def unwind(self, var: str, values: Column, scalar: bool = False) -> Bindings:
         """A row for each element; none for a null or empty list. A scalar is one element, unless null."""
@@ -171,8 +175,9 @@ class Bindings:
         """From here on relationships may be used again."""
         return self._with(self.df.drop(*[p for _, p, _ in self.hops]), ())
 
-    def _keys(self, on: list[str]) -> Bindings:
-        return Bindings(self.graph, self.df.select(*on).distinct(), (), self.repeatable)
+    def _keys(self, on: list[str], repeatable: bool | None = None) -> Bindings:
+        keys = self.df.select(*on)
+        return Bindings(self.graph, keys if self.unique in on else keys.distinct(), (), self.repeatable if repeatable is None else repeatable)
 
     def optional(self, on: list[str], block: Block) -> Bindings:
         """Left join of what `block` makes of the distinct values of `on`; without a match its variables are null. A condition of the block belongs inside it."""
@@ -181,30 +186,29 @@ class Bindings:
 
     def exists(self, name: str, on: list[str], block: Block) -> Bindings:
         """A boolean column, never null: it can stand under NOT, OR and CASE. A null node matches nothing."""
-        keys = Bindings(self.graph, self.df.select(*on).distinct(), (), True)
-        inner = block(keys).df.select(*on).distinct().withColumn("_there", F.lit(True))
+        inner = block(self._keys(on, True)).df.select(*on).distinct().withColumn("_there", F.lit(True))
         out = null_safe(self.df, inner, on, "left")
-        return self._with(out.withColumn(name, F.coalesce("_there", F.lit(False))).drop("_there"))
+        return self._with(out.withColumn(name, F.coalesce("_there", F.lit(False))).drop("_there"), unique=self.unique)
 
     def where_exists(self, on: list[str], block: Block, negate: bool = False) -> Bindings:
         """Semi-join, or anti-join, with what the block matches."""
-        inner = block(Bindings(self.graph, self.df.select(*on).distinct(), (), True)).df.select(*on).distinct()
-        return self._with(null_safe_semi(self.df, inner, on, "left_anti" if negate else "left_semi"))
+        inner = block(self._keys(on, True)).df.select(*on).distinct()
+        return self._with(null_safe_semi(self.df, inner, on, "left_anti" if negate else "left_semi"), unique=self.unique)
 
     def count(self, name: str, on: list[str], block: Block) -> Bindings:
         """Number of matches of the block, 0 if there are none."""
-        inner = block(Bindings(self.graph, self.df.select(*on).distinct(), (), True)).df
+        inner = block(self._keys(on, True)).df
         inner = inner.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        return self._with(null_safe(self.df, inner, on, "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n"))
+        return self._with(null_safe(self.df, inner, on, "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n"), unique=self.unique)
 
     def collect(self, name: str, on: list[str], block: Block, value: Column, order: list[Column] | None = None) -> Bindings:
         """List of a value over the block's matches, nulls kept, in the given order (else by value)."""
-        inner = block(Bindings(self.graph, self.df.select(*on).distinct(), (), True)).df
+        inner = block(self._keys(on, True)).df
         inner = inner.withColumn("_v", value).withColumn("_o", F.struct(*(order or [F.col("_v")])))
         listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_v").alias("v")))), lambda s: s["v"])
         inner = inner.groupBy(*on).agg(listed.alias("_l"))
         kind = inner.schema["_l"].dataType.simpleString()
-        return self._with(null_safe(self.df, inner, on, "left").withColumn(name, F.coalesce("_l", F.expr(f"cast(array() as {kind})"))).drop("_l"))
+        return self._with(null_safe(self.df, inner, on, "left").withColumn(name, F.coalesce("_l", F.expr(f"cast(array() as {kind})"))).drop("_l"), unique=self.unique)
 
     def call(self, on: list[str], block: Callable[[Bindings], DataFrame]) -> Bindings:
         """Per-row subquery: `block` gets the distinct values of `on` and returns a frame with them and new columns; rows without a result go.

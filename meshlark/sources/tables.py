@@ -40,7 +40,7 @@ _OPENED: dict[tuple, PropertyGraph] = {}
 
 
 def commerce_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Scans only what a query uses: labels and types are literals of their branch. A session opens a folder once."""
+    """Scans only what a query uses: labels and types are literals of their branch. Texts are taken as they are. A session opens a folder once."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _OPENED:
         _OPENED.clear()
@@ -74,4 +74,4 @@ def _open(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         ("SUPPLIED", rels(t["lineitem"], ("Supplier", "l_suppkey"), ("Part", "l_partkey"), f"{line} + {5 * SPACE}", quantity="l_quantity")),
         ("DID", rels(t["events"], ("User", "user_id"), ("Event", "event_id"), f"event_id + {6 * SPACE}")),
     ]
-    return PropertyGraph.from_parts(nodes, edges)
+    return PropertyGraph.from_parts(nodes, edges, blanks=False)
