@@ -44,7 +44,7 @@ CELLS_PER_BYTE = 0.4
 MOST_CELLS = 1 << 30
 SLAB_CELLS = 1 << 21
 CHUNK_WORDS = 2_000_000
-SKETCH_WORDS = 5_000_000
+SKETCH_WORDS = 4_500_000
 GROUP_BYTES = 1 << 20
 SHARD_BYTES = 12_000_000
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -105,9 +105,11 @@ class Chunk:
         self.documents += len(texts)
 
     def windows(self) -> list[np.ndarray]:
-        if not self.parts:
+        """All of them; the chunk lets go of its parts."""
+        parts, self.parts = self.parts, []
+        if not parts:
             return [np.zeros(0, t) for t in (np.uint64, np.uint16, np.int32, np.int32)]
-        return [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], window: int, only_hash: bool = False) -> Iterator[Chunk]:
