@@ -26,7 +26,7 @@ from meshlark.llm.words import word_count
 from meshlark.operators.cluster import materialize
 from meshlark.operators.ranks import sharded_running
 
-BLOCK_TOKENS = 256
+BLOCK_TOKENS = 128
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -74,19 +74,21 @@ def document_offsets(docs: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = MOST) -> DataFrame:
     """The mix as slots: slot, source_id, rank, block, epoch.
 
-    A slot whose rank lies beyond `most` passes over the source is void: the
+    A source needs target / size passes over its blocks, the last of which is
+    short, and that many slots; shares and number of slots follow. A slot whose rank lies beyond `most` passes over the source is void: the
     points can overshoot a capped source by a slot or two.
     """
     spark = sources.sparkSession
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bounds = sources.where("target > 0").withColumn("sum", F.sum("target").over(every))
-    bounds = bounds.withColumn("high", F.round(F.sum("target").over(running) / F.col("sum") * 2**32).cast("long"))
+    needs = sources.where("target > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_tokens))
+    needs = needs.withColumn("need", F.col("target") * F.col("blocks") / F.col("source_size"))
+    bounds = needs.withColumn("sum", F.sum("need").over(every)).withColumn("high", F.round(F.sum("need").over(running) / F.col("sum") * 2**32).cast("long"))
     bounds = bounds.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("source_id")), F.lit(0)).cast("long")).where("low < high")
-    bounds = bounds.withColumn("blocks", F.ceil(F.col("source_size") / block_tokens)).select("source_id", "low", "high", "blocks")
+    bounds = bounds.select("source_id", "low", "high", "blocks")
     wide = 2**32 // SLICES
     bounds = bounds.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") / wide), F.floor((F.col("high") - 1) / wide))))
-    total = sources.agg(F.coalesce(F.ceil(F.sum("target") / block_tokens), F.lit(0)).alias("n")).first()["n"]
+    total = needs.agg(F.coalesce(F.ceil(F.round(F.sum("need"), 6)), F.lit(0)).alias("n")).first()["n"]
     slots = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", golden(F.col("slot")))
     slots = slots.withColumn("slice", F.floor(F.col("point") / wide)).join(bounds, "slice").where("low <= point and point < high")
     slots = slots.withColumn("segment", F.floor(F.col("slot") / SEGMENT))

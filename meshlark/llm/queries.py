@@ -57,14 +57,16 @@ sources AS (
   SELECT source, source_id, CAST(source_size AS BIGINT) AS source_size,
          least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER (), 'inf'::DOUBLE) * w) AS target
   FROM leveled),
-bounds AS (
-  SELECT source_id, CAST(ceil(source_size / 256.0::DOUBLE) AS BIGINT) AS blocks,
-         CAST(round(sum(target) OVER (ORDER BY source_id) / sum(target) OVER () * 4294967296) AS BIGINT) AS high
+needs AS (
+  SELECT source_id, CAST(ceil(source_size / 128.0::DOUBLE) AS BIGINT) AS blocks,
+         target * CAST(ceil(source_size / 128.0::DOUBLE) AS BIGINT) / source_size AS need
   FROM sources WHERE target > 0),
+bounds AS (
+  SELECT source_id, blocks, CAST(round(sum(need) OVER (ORDER BY source_id) / sum(need) OVER () * 4294967296) AS BIGINT) AS high FROM needs),
 ranges AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source_id), 0) AS low FROM bounds),
 slots AS (
   SELECT t AS slot, (t % 4294967296 * 2654435769) % 4294967296 AS point
-  FROM range((SELECT CAST(coalesce(ceil(sum(target) / 256), 0) AS BIGINT) FROM sources)) r(t)),
+  FROM range((SELECT CAST(coalesce(ceil(round(sum(need), 6)), 0) AS BIGINT) FROM needs)) r(t)),
 ranked AS (
   SELECT source_id, blocks, row_number() OVER (PARTITION BY source_id ORDER BY slot) - 1 AS r
   FROM slots JOIN ranges ON point >= low AND point < high),
@@ -74,8 +76,8 @@ placed AS (
          coalesce(sum(size) OVER (PARTITION BY s.source_id ORDER BY k, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized z JOIN sources s ON z.source IS NOT DISTINCT FROM s.source),
 pieces AS (
-  SELECT row_id, p.source_id, b AS block, least(start + size, (b + 1) * 256) - greatest(start, b * 256) AS piece
-  FROM placed p, LATERAL (SELECT unnest(range(CAST(start // 256 AS BIGINT), CAST((start + size - 1) // 256 + 1 AS BIGINT))) AS b) WHERE size > 0),
+  SELECT row_id, p.source_id, b AS block, least(start + size, (b + 1) * 128) - greatest(start, b * 128) AS piece
+  FROM placed p, LATERAL (SELECT unnest(range(CAST(start // 128 AS BIGINT), CAST((start + size - 1) // 128 + 1 AS BIGINT))) AS b) WHERE size > 0),
 taken AS (SELECT row_id, sum(piece * times) AS taken FROM pieces JOIN takes USING (source_id, block) GROUP BY row_id)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (row_id)
 """
