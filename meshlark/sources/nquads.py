@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.graph import PropertyGraph
+from meshlark.operators.cluster import materialize
+from meshlark.operators.ranks import sharded_running
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -69,13 +71,14 @@ def _wide(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
-    """The property graph of a file or folder; node ids follow the order of IRIs."""
-    quads = read_quads(spark, path).cache()
+    """The property graph of a file or folder; node ids follow the md5 of IRIs, so no task sorts them all."""
+    quads = materialize(read_quads(spark, path), "quads")
     links = quads.where(F.col("o").isNotNull() & (F.col("p") != RDF_TYPE))
     single = links.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("at")).where("n = 1").select(F.col("g").alias("anchor"), "at")
     about = quads.where("literal is not null").join(single, F.col("s") == F.col("anchor"), "left")
     subjects = quads.join(single, F.col("s") == F.col("anchor"), "left_anti").select(F.col("s").alias("uri")).union(links.select("o")).distinct()
-    ids = subjects.rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("uri string, id long")
+    hashed = subjects.withColumn("_md5", F.md5("uri")).withColumns({"_shard": F.substring("_md5", 1, 3), "_all": F.lit(0)})
+    ids = materialize(sharded_running(hashed, ["_all"], "_shard", [F.col("_md5"), F.col("uri")], F.lit(1), "id").select("uri", "id"), "quad-ids")
     labels = quads.where(F.col("p") == RDF_TYPE).groupBy(F.col("s").alias("uri")).agg(F.array_sort(F.collect_set(local(F.col("o")))).alias("labels"))
     props = _wide(about.where("anchor is null").select(F.col("s").alias("uri"), local(F.col("p")).alias("name"), "literal", "datatype", "line"), "uri")
     nodes = ids.join(labels, "uri", "left").join(props, "uri", "left").withColumn("labels", F.coalesce("labels", F.expr("cast(array() as array<string>)")))
