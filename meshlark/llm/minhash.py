@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,15 +166,23 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one for the shuffle."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((squeeze((x.as_py() or "").encode()) for x in batch.column(2)), pa.binary())], ["doc_id", "key", "packed"])
+
+
 def _read_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range in order: a row (role 0) for each document but the last, the first text (1) and the last (2)."""
-    held = None
+    held, expand = None, zstandard.ZstdDecompressor().decompress
     blank = (None,) * len(_KINDS)
     for batch in batches:
         ids, rows, texts, roles, parts = [], [], [], [], []
         for i in range(batch.num_rows):
-            own, text, part = batch.column(0).slice(i, 1), batch.column(1)[i].as_py() or "", batch.column(2)[i].as_py()
-            mark = minhash(text.encode())
+            data = expand(batch.column(1)[i].as_py())
+            own, text, part = batch.column(0).slice(i, 1), data.decode(), batch.column(2)[i].as_py()
+            mark = minhash(data)
             if held:
                 new = (held[0], _compared(held[1], held[2], text, mark), None, 0)
             else:
@@ -207,8 +216,9 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     of two rows a range.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))  # range bounds are sampled on the driver: no texts there
-    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_packed, f"doc_id {id_type}, key long, packed binary")
+    ordered = keyed.repartitionByRange("doc_id", "key")  # range bounds are sampled on the driver: no texts there
+    ordered = ordered.sortWithinPartitions("doc_id", "key", "packed").select("doc_id", "packed", F.spark_partition_id().alias("part"))
     read = materialize(ordered.mapInArrow(_read_range, f"doc_id {id_type}, {_SCHEMA}, text string, role int, part int"), "minhash")
     done = read.where("role = 0").select("doc_id", *NAMES)
     firsts, lasts = read.where("role = 1").select("part", F.col("text").alias("after")), read.where("role = 2").select("part", "doc_id", "text")
