@@ -93,10 +93,10 @@ def _mixed(value: np.ndarray, n: int, buckets: int) -> np.ndarray:
 def bag(text: str | None) -> dict[str, int]:
     """Counts of the normalised words of a whole text."""
     counts: dict[str, int] = {}
-    for w in (text or "").lower().split():
-        w = normal(w)
+    for met, n in Counter((text or "").lower().split()).items():
+        w = normal(met)
         if w:
-            counts[w] = counts.get(w, 0) + 1
+            counts[w] = counts.get(w, 0) + n
     return counts
 
 
@@ -203,16 +203,14 @@ class WordMargins(dict):
 
 
 def score(text: str | None, words: WordMargins, bias: float) -> float:
-    """The softmax's probability of class 1 for a whole text."""
-    counts = Counter((text or "").lower().split())
+    """The softmax's probability of class 1 for a whole text, from the bag that learning takes of it."""
+    counts = bag(text)
     words.learn(counts.keys())
     total = below = 0.0
     for word, n in counts.items():
-        margin = words[word]
-        if margin is not None:
-            w = weight(n)
-            total += w * margin
-            below += w
+        w = weight(n)
+        total += w * words[word]
+        below += w
     logit = bias + (total / below if below else 0.0)
     return 1 / (1 + math.exp(-logit)) if logit > -700 else 0.0
 
