@@ -18,7 +18,9 @@ compared with other chunks: the others are settled on the spot. So a group has
 at most one document a chunk, and a passage found in a third of all documents
 does not fill a task. Groups are read by shards of the hash whose number
 follows the input. The windows found return to their documents by doc_id and a
-hash of the text; the texts are shuffled once.
+hash of the text, through buckets of both: all exact copies of a text have one
+hash, but their ids spread them. Rows alike in both keep one entry a window. The
+texts are shuffled once.
 
 Nulls: a null text has no words; a null id is larger than all others and
 smaller than none. Repeated rows keep their words alike: an equal id is not
@@ -217,6 +219,13 @@ def _entry(shard: int, settled: bool, chunk_ids, chunk_keys, owner, position, on
     return shard, settled, chunk_ids[runs].tobytes(), chunk_keys[runs].tobytes(), sizes.tobytes(), one.tobytes() if one is not None else b"", two.tobytes() if two is not None else b"", small.tobytes()
 
 
+def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Indices where ordered rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
 def _positions(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.int32).astype(np.int32)
 
@@ -243,10 +252,14 @@ def candidates(docs: DataFrame, rows: list[bytes], width: int, shards: int, wind
             least = ids[owner[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
             settled = np.zeros(len(one), bool)
             settled[order] = ids[owner[order]] > least
+            stays = np.ones(len(one), bool)
+            again = np.lexsort((position, keys[owner], ids[owner]))  # rows alike in id and text say the same
+            stays[again] = False
+            stays[again[_first_of_runs(ids[owner[again]], keys[owner[again]], position[again])]] = True
             out = []
-            if settled.any():
-                out.append(_entry(int(ids[0] % shards), True, ids, keys, owner[settled], position[settled]))
-            rest = np.flatnonzero(~settled)
+            if (settled & stays).any():
+                out.append(_entry(int(ids[0] % shards), True, ids, keys, owner[settled & stays], position[settled & stays]))
+            rest = np.flatnonzero(~settled & stays)
             shard = (one[rest] >> np.uint64(33)).astype(np.int64) % shards
             rest = rest[np.argsort(shard, kind="stable")]
             shard = np.sort(shard)
@@ -268,6 +281,12 @@ def _unpacked(table: pa.Table, *more: str) -> Iterator[tuple]:
         yield np.repeat(np.frombuffer(i, np.int64), sizes), np.repeat(np.frombuffer(k, np.int32), sizes), _positions(position, int(sizes.sum())), *rest
 
 
+def bucket_of(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each document, from its id and the hash of its text together: copies spread, a document's windows stay together."""
+    mixed = _mixed(ids.view(np.uint64) * _SECOND + keys.view(np.uint32).astype(np.uint64))
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 _FOUND = "bucket int, ids binary, keys binary, sizes binary, positions binary"
 
 
@@ -293,9 +312,11 @@ def _resolve(buckets: int):
             keys.append(k[later])
             positions.append(p[later])
         ids, keys, positions = np.concatenate(ids), np.concatenate(keys), np.concatenate(positions)
-        bucket = keys.view(np.uint32) % np.uint32(buckets)
+        bucket = bucket_of(ids, keys, buckets)
         order = np.lexsort((positions, keys, ids, bucket))
         ids, keys, positions, bucket = ids[order], keys[order], positions[order], bucket[order]
+        new = _first_of_runs(ids, keys, positions)
+        ids, keys, positions, bucket = ids[new], keys[new], positions[new], bucket[new]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
         for b in np.unique(bucket).tolist():

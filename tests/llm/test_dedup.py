@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -209,3 +210,36 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     rows += [(100 + i, t) for i, t in rows[:5]]
     got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == stripped(rows, 13)
+
+
+def test_exact_copies_spread_over_buckets_and_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_WORDS", 300)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 500)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 2000)
+    rng = random.Random(12)
+    copied = prose(rng, 30)
+    rows = [(i, copied if i % 3 == 0 else prose(rng, 20)) for i in range(240)]
+    rows += [(None, copied)] * 20
+    seen, inner = [], substrings._resolve
+
+    def traced(buckets):
+        seen.append(buckets)
+        return inner(buckets)
+
+    monkeypatch.setattr(substrings, "_resolve", traced)
+    monkeypatch.setattr(substrings, "_gather", _bucket_sizes)
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, key int").repartition(3)
+    sizes = substrings.repeated_windows(df).collect()
+    held = {}
+    for r in sizes:
+        documents = np.frombuffer(r.positions, np.int64).tolist()
+        for d in documents:
+            assert held.setdefault(d, r.key) == r.key
+    copies = {i for i, t in rows[1:240] if t == copied} | {np.iinfo(np.int64).max}
+    assert set(held) == copies and seen[0] > 5
+    assert max(len(np.frombuffer(r.positions, np.int64)) for r in sizes) < len(copies) / 2
+
+
+def _bucket_sizes(key, table):
+    ids = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]))
+    return pa.table({"id": pa.array([len(ids)], pa.int64()), "key": pa.array([key[0].as_py()], pa.int32()), "positions": pa.array([ids.tobytes()], pa.binary())})
