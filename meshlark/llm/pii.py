@@ -61,7 +61,8 @@ def _glyph(ch: str) -> str | None:
     return None
 
 
-_GLYPHS = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + ZERO_WIDTH + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
+#: What _glyph may change, and all beyond the basic plane, where _glyph decides: one range costs less than one a script.
+_GLYPHS = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + ZERO_WIDTH + "！-～" + "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.decimal(c, None) is not None) + "\U00010000-\U0010ffff]")
 _AT = r"(?:[\[({<]\s*(?:at|@)\s*[\])}>])"
 _DOT = r"(?:[\[({<]\s*(?:dot|\.)\s*[\])}>])"
 _NAME = r"[A-Za-z0-9_%+-]+"
@@ -71,6 +72,9 @@ _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?:{_NAME})(?:(?:\s*{_DOT}\s*|\s+dot\s+|\.)(?:{_NAME}))*?(?:(?:\s*{_AT}\s*)(?:{_PART})(?:(?:\s*{_DOT}\s*|\s+dot\s+|\.){_PART})+|\s+at\s+(?:{_PART})(?:\.{_PART})*(?:(?:\s*{_DOT}\s*|\s+dot\s+){_PART})+(?:\.{_PART})*|@(?:{_PART})(?:\.{_PART})*(?:(?:\s*{_DOT}\s*|\s+dot\s+){_PART})+(?:\.{_PART})*)",
     re.IGNORECASE,
 )
+#: Every match of _ADDRESS holds one of these, whatever else the text holds.
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
+_WORD_DOT = re.compile(r"\sdot\s", re.IGNORECASE)
 _DISGUISE = re.compile(rf"\s*{_AT}\s*|\s*{_DOT}\s*|\s+at\s+|\s+dot\s+", re.IGNORECASE)
 _DIGIT_WORDS = re.compile(r"(?<![A-Za-z])(?:plus[\s,-]+)?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point|[0-9]+))+(?![A-Za-z])", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+|[.]")
@@ -131,12 +135,10 @@ def _spoken(run: str) -> str:
 
 def word_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    lowered = text.lower()
-    if len(lowered) == len(text) and ("dot" in lowered or "@" in text or "[at]" in lowered or "(at)" in lowered or "{at}" in lowered or "<at>" in lowered or "[ at" in lowered or "( at" in lowered):
-        if re.search(r"\bdot\b|[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", lowered):
-            for m in _ADDRESS.finditer(text):
-                for d in _DISGUISE.finditer(text, m.start(), m.end()):
-                    edits.append((d.start(), d.end(), "@" if "@" in d[0] or "at" in d[0].lower() else "."))
+    if _BRACKETED.search(text) or _WORD_DOT.search(text):
+        for m in _ADDRESS.finditer(text):
+            for d in _DISGUISE.finditer(text, m.start(), m.end()):
+                edits.append((d.start(), d.end(), "@" if "@" in d[0] or "at" in d[0].lower() else "."))
     for m in _DIGIT_WORDS.finditer(text):
         edits.append((m.start(), m.end(), _spoken(m[0])))
     edits.sort()

@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -110,6 +111,31 @@ def test_disguises_map_back_to_the_source(text, kind, want):
     assert (kind, want) in [(k, text[s:e]) for k, s, e in pii.all_spans(text)]
 
 
+ANY_TEXT = [
+    ("john at example[.]com", "email", "john at example[.]com"),
+    ("john { at } example.com", "email", "john { at } example.com"),
+    ("john < at > example.com", "email", "john < at > example.com"),
+    ("john [\tat\t] example.com", "email", "john [\tat\t] example.com"),
+    ("john (  AT  ) example.com", "email", "john (  AT  ) example.com"),
+    ("\u0130stanbul: bob at example dot com now", "email", "bob at example dot com"),
+    ("\u0130 bob [at] mail.example (dot) org.", "email", "bob [at] mail.example (dot) org"),
+]
+ZEROS = [chr(c) for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) == 0]
+
+
+@pytest.mark.parametrize("text, kind, want", ANY_TEXT)
+def test_disguises_are_found_whatever_else_the_text_holds(text, kind, want):
+    assert (kind, want) in [(k, text[s:e]) for k, s, e in pii.all_spans(text)]
+
+
+def test_digits_of_every_script_are_read():
+    assert len(ZEROS) > 60
+    for zero in ZEROS:
+        card = "".join(chr(ord(zero) + int(d)) for d in "4111111111111111")
+        assert ("card", 2, 18) in pii.all_spans(f"a {card} b"), hex(ord(zero))
+    assert pii.all_spans("smile \U0001f600 \U0001f600 4") == []
+
+
 def test_plain_words_are_left_alone():
     for text in ("we met at noon", "one two three", "look at this. dot your i", "Zero tolerance at home", "a dot b at c"):
         assert pii.all_spans(text) == []
