@@ -1,17 +1,20 @@
 """PII: detection through offset-preserving deobfuscation.
 
-Two transducers rewrite a text: the first turns homoglyphs, full-width and
-other Unicode digits into ASCII and drops zero-width characters, the second
-reads words and turns spelled digits into digits and at/dot disguises into @
-and dots. Each keeps a map of what came from where. Detection then runs on the
+Two transducers rewrite a text: the first turns homoglyphs, full-width forms and
+the decimal digits of all scripts into ASCII and drops zero-width characters,
+the second reads chains of names and number words and turns spelled digits into
+digits and at/dot disguises into @ and dots. Each keeps a map of what came from
+where. Detection then runs on the
 rewritten text, and its spans are mapped back to code points of the source.
 What the plain text shows by itself (the base spans) is always kept; a mapped
 span is added where it does not overlap a base span of its kind.
 
-Kinds and base patterns are those of KINDS. Whole texts are read: every
-pattern is linear, since runs of digits and local parts are entered at their
-start only. Nulls: a null text counts as empty; a null id is returned as null.
-Repeated rows give a row each. An empty table gives an empty result.
+Kinds and base patterns are those of KINDS. Whole texts are read, however long,
+in time proportional to their length: runs of digits, names, chains and number
+words are entered at their start only and never read back, and a phone number's
+run is read back once. Nulls: a null text counts as empty; a null id is returned as null.
+Repeated rows give a row each. An empty table gives an empty result. Extra
+columns are left aside by find_pii and kept by redact_documents.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,20 +66,19 @@ def _glyph(ch: str) -> str | None:
 
 #: What _glyph may change, and all beyond the basic plane, where _glyph decides: one range costs less than one a script.
 _GLYPHS = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + ZERO_WIDTH + "！-～" + "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.decimal(c, None) is not None) + "\U00010000-\U0010ffff]")
-_AT = r"(?:[\[({<]\s*(?:at|@)\s*[\])}>])"
-_DOT = r"(?:[\[({<]\s*(?:dot|\.)\s*[\])}>])"
-_NAME = r"[A-Za-z0-9_%+-]+"
-_PART = r"[A-Za-z0-9-]+"
-#: An address whose at and dots are disguised: bracketed, or as words with blanks around; one of its dots at least in words or brackets, or a bracketed at.
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?:{_NAME})(?:(?:\s*{_DOT}\s*|\s+dot\s+|\.)(?:{_NAME}))*?(?:(?:\s*{_AT}\s*)(?:{_PART})(?:(?:\s*{_DOT}\s*|\s+dot\s+|\.){_PART})+|\s+at\s+(?:{_PART})(?:\.{_PART})*(?:(?:\s*{_DOT}\s*|\s+dot\s+){_PART})+(?:\.{_PART})*|@(?:{_PART})(?:\.{_PART})*(?:(?:\s*{_DOT}\s*|\s+dot\s+){_PART})+(?:\.{_PART})*)",
-    re.IGNORECASE,
-)
-#: Every match of _ADDRESS holds one of these, whatever else the text holds.
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
-_WORD_DOT = re.compile(r"\sdot\s", re.IGNORECASE)
-_DISGUISE = re.compile(rf"\s*{_AT}\s*|\s*{_DOT}\s*|\s+at\s+|\s+dot\s+", re.IGNORECASE)
-_DIGIT_WORDS = re.compile(r"(?<![A-Za-z])(?:plus[\s,-]+)?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point|[0-9]+))+(?![A-Za-z])", re.IGNORECASE)
+#: A disguised or plain separator of an address: bracketed, a word with blanks around, or itself.
+_BRACKETED = r"\s*+[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]\s*+"
+_SEPARATOR = rf"(?:{_BRACKETED}|\s++(?:at|dot)\s++|[.@])"
+_ATOM = r"[A-Za-z0-9_%+-]++"
+#: Names and the separators between them, as far as they go. A chain starts where a name starts, and all parts are possessive: one pass.
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9_%+-]){_ATOM}(?:{_SEPARATOR}{_ATOM})++", re.IGNORECASE)
+_LINK = re.compile(rf"({_SEPARATOR})({_ATOM})", re.IGNORECASE)
+_NAME = re.compile(_ATOM)
+_PART = re.compile(r"[A-Za-z0-9-]++")
+#: Every disguised address holds one of these, whatever else the text holds.
+_DISGUISED = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]|\sdot\s", re.IGNORECASE)
+_NUMBER_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])"
+_DIGIT_WORDS = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]++)?{_NUMBER_WORD}(?:[\s,.-]++(?:{_NUMBER_WORD}|(?:dot|point)(?![A-Za-z])|[0-9]++(?![A-Za-z])))++", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+|[.]")
 
 
@@ -133,12 +135,61 @@ def _spoken(run: str) -> str:
     return "".join(out)
 
 
+def _kind(separator: str) -> str:
+    """The symbol that the machine reads for a separator: @ and . plain, A and D bracketed, a and d as words."""
+    if separator in ".@":
+        return separator
+    body = separator.strip().lower()
+    at = "at" in body or "@" in body
+    return ("A" if at else "D") if body[0] in "[({<" else ("a" if at else "d")
+
+
+def chain_edits(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Disguised separators of the addresses in a chain of names.
+
+    At each at, from left to right: the names before it that no address holds
+    yet, as far as dots of any kind join them, are the local part; the names
+    after it, likewise, are the domain, which ends inside a name where a
+    character is none of a domain. It is an address if the domain has a dot, and
+    a disguised one if the at is bracketed or a dot of the domain is disguised.
+    Every name is looked at twice at most.
+    """
+    edge = _NAME.match(text, start, end).end()
+    names, between = [(start, edge)], []
+    for m in _LINK.finditer(text, edge, end):
+        names.append(m.span(2))
+        between.append((m.start(1), m.end(1), _kind(m[1])))
+    edits, taken = [], 0
+    for i, (_, _, at) in enumerate(between):
+        if at in ".Dd" or i < taken:
+            continue
+        first, last = i, i + 1
+        while first > taken and between[first - 1][2] in ".Dd":
+            first -= 1
+        while True:
+            part = _PART.match(text, *names[last])
+            if not part:
+                last -= 1
+                break
+            if part.end() < names[last][1] or last == len(between) or between[last][2] not in ".Dd":
+                break
+            last += 1
+        dots = [k for _, _, k in between[i + 1 : last]]
+        if not dots:
+            continue
+        if at == "A" or not {*dots} <= {"."}:
+            edits += [(s, e, "@" if k in "Aa" else ".") for s, e, k in between[first:last] if k not in ".@"]
+            taken = last + 1
+        elif at == "@":  # an address as it stands
+            taken = last + 1
+    return edits
+
+
 def word_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    if _BRACKETED.search(text) or _WORD_DOT.search(text):
-        for m in _ADDRESS.finditer(text):
-            for d in _DISGUISE.finditer(text, m.start(), m.end()):
-                edits.append((d.start(), d.end(), "@" if "@" in d[0] or "at" in d[0].lower() else "."))
+    if _DISGUISED.search(text):
+        for m in _CHAIN.finditer(text):
+            edits += chain_edits(text, m.start(), m.end())
     for m in _DIGIT_WORDS.finditer(text):
         edits.append((m.start(), m.end(), _spoken(m[0])))
     edits.sort()
@@ -201,12 +252,14 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     second = OffsetMap(middle, edits)
     out: list[Span] = []
+    ends = {kind: [e for k, _, e in base if k == kind] for kind in KINDS}
+    starts = {kind: [s for k, s, _ in base if k == kind] for kind in KINDS}
     for kind, start, end in base_spans(second.text):
         low, high, changed = second.source_span(start, end)
         if first:
             low, high, also = first.source_span(low, high)
             changed |= also
-        if changed and not any(k == kind and s < high and low < e for k, s, e in base):
+        if changed and bisect_right(ends[kind], low) == bisect_left(starts[kind], high):  # no base span of its kind overlaps
             out.append((kind, low, high))
     return out
 

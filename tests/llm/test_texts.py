@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -120,6 +121,62 @@ ANY_TEXT = [
     ("\u0130stanbul: bob at example dot com now", "email", "bob at example dot com"),
     ("\u0130 bob [at] mail.example (dot) org.", "email", "bob [at] mail.example (dot) org"),
 ]
+NAMES = ["bob", "a_b", "mail", "com+x", "at", "dot", "ex-1", "7"]
+SEPARATORS = [".", "@", " at ", " dot ", "[at]", " ( dot ) ", "{@}", " <.>\t", " AT\n", " Dot  "]
+
+
+def slow_edits(text):
+    """Every at of every chain, each with all local parts and domains tried by pattern, the longest taken, left to right."""
+    dot = r"(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+    ats = {"A": r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", "a": r"\s+at\s+", "@": "@"}
+    name, part = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
+    edits, taken = [], 0
+    chain = re.compile(rf"(?<![A-Za-z0-9_%+-]){name}(?:(?:{dot}|{'|'.join(ats.values())}){name})+", re.I)
+    for c in chain.finditer(text):
+        bounds, pos = [], re.compile(name).match(text, c.start()).end()
+        while pos < c.end():
+            m = re.compile(rf"({dot}|{'|'.join(ats.values())}){name}", re.I).match(text, pos)
+            bounds.append(m.span(1))
+            pos = m.end()
+        for s, e in bounds:
+            kind = next((k for k, p in ats.items() if re.fullmatch(p, text[s:e], re.I)), None)
+            if not kind or s <= taken:
+                continue
+            froms = [f for f in range(max(taken, c.start()), s) if re.fullmatch(rf"{name}(?:{dot}{name})*", text[f:s], re.I) and not re.match(r"[A-Za-z0-9_%+-]", text[f - 1 : f])]
+            domain = re.compile(rf"{part}(?:{dot}{part})*", re.I).match(text, e, c.end())
+            if not froms or not domain or not (dots := [b for b in bounds if e <= b[0] and b[1] <= domain.end()]):
+                continue
+            hidden = [b for b in dots if text[b[0] : b[1]] != "."]
+            if kind == "A" or hidden:
+                edits += [(x, y, "@" if (x, y) == (s, e) else ".") for x, y in bounds if froms[0] <= x and y <= domain.end() and text[x:y] not in (".", "@")]
+            if kind == "A" or hidden or kind == "@":
+                end = domain.end()
+                while end < c.end() and re.match(r"[A-Za-z0-9_%+-]", text[end]):
+                    end += 1
+                taken = end
+    return edits
+
+
+def test_address_edits_equal_a_slow_search():
+    rng = random.Random(12)
+    some = 0
+    for _ in range(6000):
+        text = rng.choice(["", "x ", "see: "]) + rng.choice(NAMES) + "".join(rng.choice(SEPARATORS) + rng.choice(NAMES) for _ in range(rng.randint(1, 7))) + rng.choice(["", ".", " now", "@"])
+        want = slow_edits(text)
+        got = sorted(e for m in pii._CHAIN.finditer(text) for e in pii.chain_edits(text, m.start(), m.end()))
+        assert got == want, text
+        some += bool(want)
+    assert some > 1500
+
+
+@pytest.mark.parametrize("piece", ["a dot ", "a at ", "one ", "( ", "1 ", "a@", "a.", "[at]", "plus ", "+1(", "a at b dot c ", "\t(\t", "1.", "one1 ", "a_[at]", "x" * 999 + " "])
+def test_a_megabyte_of_disguises_takes_seconds(piece):
+    text = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    pii.all_spans(text)
+    assert time.process_time() - began < 6
+
+
 ZEROS = [chr(c) for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) == 0]
 
 
