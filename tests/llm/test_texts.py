@@ -251,6 +251,28 @@ def test_packed_batches(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_boundaries_of_long_documents_are_optimal():
+    rng = np.random.default_rng(9)
+    for top, n in ((30_000, 400), (2_500, 300), (10**12, 200)):
+        lengths = np.unique(rng.integers(0, top, n))
+        counts = rng.integers(1, 50, len(lengths))
+        edge, upto = [int(x) for x in lengths], [0, *np.cumsum(counts).tolist()]
+        cost = [edge[j] * upto[j + 1] for j in range(len(edge))]
+        for buckets in range(1, 7):
+            edges = packing.best_boundaries(lengths, counts, buckets)
+            assert len(edges) <= buckets and edges[-1] == edge[-1]
+            spent = sum(min(e for e in edges if e >= x) * c for x, c in zip(edge, counts.tolist(), strict=True))
+            assert spent == cost[-1]
+            cost = [min([cost[j], *[cost[k] + edge[j] * (upto[j + 1] - upto[k + 1]) for k in range(j)]]) for j in range(len(edge))]
+
+
+def test_batches_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(3 if i % 2 else None, "w " * (i * 31 % 90)) for i in range(200)]
+    got = sorted(map(repr, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), budget=500, buckets=5).collect()))
+    again = packing.pack(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5), budget=500, buckets=5)
+    assert sorted(map(repr, again.collect())) == got
+
+
 # WARC
 
 
