@@ -8,13 +8,17 @@ of blocks. Blocks are equal runs of tokens of the source's documents in
 shuffled order, so a long document spans blocks and short ones share one.
 
 Only DataFrame functions run here. A source may hold any part of all rows: its
-documents are shuffled by the md5 of the id and numbered by shards of that md5,
-its slots by segments of the schedule, so no task holds a source.
+documents are shuffled by the md5 of id and text and numbered by shards of that
+md5, whose number follows the rows, its slots by segments of the schedule, so no
+task holds a source. The table of sources, of one short row each, is ordered in one
+task. The order depends on the rows' contents alone: a rerun agrees, whatever
+order or partitions the rows come in.
 
 Nulls: a null source is a source of its own, after all others; a null text has
-size 0; a null id sorts as the text `null`. Repeated rows count one by one.
+size 0; a null id goes as the text `null`. Repeated rows count one by one; which
+of rows alike in id, text and source has which `taken` is the same to all.
 Documents of size 0 take part in no block and are returned with 0 taken. An
-empty table gives an empty result.
+empty table gives an empty result. Extra columns are left aside.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.words import word_count
+from meshlark.llm.words import document_key, shard_digits, word_count
 from meshlark.operators.cluster import materialize
 from meshlark.operators.ranks import sharded_running
 
@@ -65,10 +69,10 @@ def golden(t: Column) -> Column:
     return (t % 65536 * GOLDEN + F.floor(t / 65536) % 65536 * high) % 2**32
 
 
-def document_offsets(docs: DataFrame) -> DataFrame:
-    """docs plus `start`: tokens of the source's shuffled documents before it. docs: row_id, source_id, key, size."""
-    docs = docs.withColumn("shard", F.substring("key", 1, 3))
-    return sharded_running(docs, ["source_id"], "shard", [F.col("key"), F.col("row_id")], F.col("size"), "start").drop("shard")
+def document_offsets(docs: DataFrame, digits: int = 2) -> DataFrame:
+    """docs plus `start`: tokens of the source's shuffled documents before it. docs: source_id, key, size; digits: of the key, for a shard."""
+    docs = docs.withColumn("shard", F.substring("key", 1, digits))
+    return sharded_running(docs, ["source_id"], "shard", [F.col("key")], F.col("size"), "start").drop("shard")
 
 
 def schedule(sources: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = MOST) -> DataFrame:
@@ -98,27 +102,29 @@ def schedule(sources: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = M
 
 
 def block_pieces(placed: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document and block it reaches into: block, piece (tokens of it in that block)."""
+    """One row per document (of positive size) and block it reaches into: block, piece (tokens of it in that block)."""
     first, last = F.floor(F.col("start") / block_tokens), F.floor((F.col("start") + F.col("size") - 1) / block_tokens)
-    pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+    pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     low, high = F.greatest(F.col("start"), F.col("block") * block_tokens), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens)
     return pieces.withColumn("piece", high - low)
 
 
 def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, taken.
+    """What the mix takes of each document: doc_id, source, size, source_size, target, taken, key.
 
     docs: doc_id, text, source; other columns are left aside. The scan and the
     word counts happen once: sizes are written to the shared folder.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = document_key(F.col("doc_id"), F.col("text"))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    sized = materialize(sized.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
+    sized = materialize(sized, "mix-sizes", counted=True)
     sources = materialize(source_targets(sized, weights, share, most), "mix-sources")
     named = sources.select(F.col("source").alias("source_name"), "source_id", "source_size", "target")
-    placed = document_offsets(sized.join(named, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name"))
+    named_rows = sized.join(named, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
+    placed = document_offsets(named_rows.where("size > 0"), shard_digits(sized))
     takes = schedule(sources, block_tokens, most).groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = block_pieces(placed, block_tokens).join(takes, ["source_id", "block"], "left")
-    kept = [F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
+    columns = ["doc_id", "source", "size", "source_size", "target", "key"]
     taken = F.coalesce(F.sum(F.col("piece") * F.col("times")), F.lit(0)).alias("taken")
-    return pieces.groupBy("row_id").agg(*kept, taken).drop("row_id")
+    whole = pieces.groupBy("source_id", "start", *columns).agg(taken).select(*columns, "taken")
+    return whole.unionByName(named_rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))

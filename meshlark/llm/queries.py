@@ -40,7 +40,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k, row_number() OVER () AS row_id
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 named AS (
   SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) AS source_id
@@ -73,13 +73,14 @@ ranked AS (
 takes AS (SELECT source_id, r % blocks AS block, count(*) AS times FROM ranked WHERE r < 2 * blocks GROUP BY 1, 2),
 placed AS (
   SELECT z.*, s.source_id, s.source_size, s.target,
-         coalesce(sum(size) OVER (PARTITION BY s.source_id ORDER BY k, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+         coalesce(sum(size) OVER (PARTITION BY s.source_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized z JOIN sources s ON z.source IS NOT DISTINCT FROM s.source),
 pieces AS (
-  SELECT row_id, p.source_id, b AS block, least(start + size, (b + 1) * 128) - greatest(start, b * 128) AS piece
+  SELECT p.source_id, start, b AS block, least(start + size, (b + 1) * 128) - greatest(start, b * 128) AS piece
   FROM placed p, LATERAL (SELECT unnest(range(CAST(start // 128 AS BIGINT), CAST((start + size - 1) // 128 + 1 AS BIGINT))) AS b) WHERE size > 0),
-taken AS (SELECT row_id, sum(piece * times) AS taken FROM pieces JOIN takes USING (source_id, block) GROUP BY row_id)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (row_id)
+taken AS (SELECT source_id, start, sum(piece * times) AS taken FROM pieces JOIN takes USING (source_id, block) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
+FROM placed LEFT JOIN taken USING (source_id, start)
 """
 
 

@@ -67,6 +67,15 @@ def test_nulls_repeats_and_empty(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_reruns_agree_with_repeated_and_null_ids_in_any_order_and_partitions(spark):
+    rows = [(7 if i % 2 else None, "w " * (1 + i * 53 % 400) + str(i % 30), "a" if i % 5 else None, None) for i in range(120)]
+    got = sorted(map(repr, mixing.mix(documents(spark, rows)).collect()))
+    assert len(got) == 120
+    for parts, order in ((1, rows[::-1]), (7, rows[60:] + rows[:60])):
+        again = mixing.mix(documents(spark, order).repartition(parts)).collect()
+        assert sorted(map(repr, again)) == got
+
+
 def test_golden_points_are_exact(spark):
     slots = [0, 1, 65535, 65536, 2**31, 2**33 + 5]
     rows = spark.createDataFrame([(t,) for t in slots], "t long").select("t", mixing.golden(F.col("t")).alias("p")).collect()
