@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.operators.cluster import discard, materialize
+from meshlark.operators.skew import join_hot
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -13,17 +14,26 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
-def star_round(edges: DataFrame) -> DataFrame:
-    """One large star and one small star over edges (a, b) with a > b.
+#: Edge tables below this are joined plainly: one node's edges fit a task.
+FEW_EDGES = 100_000
 
-    Only minima are grouped, and they come back by a join, so a node with very
-    many neighbours is never gathered in one task.
+
+def star_round(edges: DataFrame, n_edges: int) -> DataFrame:
+    """One large star and one small star over edges (a, b) with a > b; n_edges: their number.
+
+    Only minima are grouped, and they come back by a join in which the nodes
+    with very many neighbours, bounded in number, are broadcast: no node's edges
+    are gathered in one task unless the whole table has fewer than FEW_EDGES.
     """
+
+    def with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        return pairs.join(least.drop("n"), "a") if n_edges < FEW_EDGES else join_hot(pairs, least, "a", 2 * n_edges)
+
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    large = with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -39,7 +49,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         if not state[0]:
             break
-        following = materialize(star_round(current), "edges")
+        following = materialize(star_round(current, state[0]), "edges")
         discard(current)
         current, before = following, state
         state = _state(current)
