@@ -8,11 +8,23 @@ of equal keys is verified by Hamming distance. A run gives a spanning forest of
 its links, found by search from one fingerprint to the next, so a run of n
 gives fewer than n rows. Equal fingerprints are one row throughout.
 
+`representatives` searches farther, for likeness of 0.8 or more of 5-word
+shingle sets: that is an angle between fingerprints, about 39 of 256 bits. Its
+fingerprints have 256 bits, over distinct shingles; links are at most
+WIDE_DISTANCE bits. No split into blocks is sure to find all of those, so the bits
+are cut into blocks under several fixed permutations; a block has as many bits
+as the number of fingerprints asks for (a run of strangers stays short), and the
+permutations are as many as find a pair of MEANT bits with probability 0.95.
+
 Runs are read as a stream, and at most TILE fingerprints of a run are held. A
 longer run is passed on and compared in tiles: its rows are dealt to the cells
 of a triangular grid, any two of them meet in a cell, and each cell is searched
 like a run. So all links are kept whatever the size of a group.
 
+Rows of one fingerprint or one component are not gathered to be named: hot
+ones are broadcast, of which there are few (`join_hot`).
+
+Texts are read whole, however long; extra columns are left aside.
 Nulls: a null text has no words, hence fingerprint zero; null ids are returned,
 and component_id is null only where no document of the component has an id.
 Repeated rows give a row each; an empty table gives an empty result.
@@ -20,6 +32,7 @@ Repeated rows give a row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,14 +42,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.llm.minhash import _mixed, shingle_hashes, word_hashes
 from meshlark.operators.cluster import materialize
 from meshlark.operators.components import connected_components
+from meshlark.operators.skew import join_hot
 
 BLOCKS = 7
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 TILE = 8192
+SMALL_RUN = 16
+WIDE = 4  # 64-bit words of a wide fingerprint
+WIDE_SHINGLE = 5
+WIDE_DISTANCE = 40
+MEANT = 34
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -78,117 +98,200 @@ def block_keys(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[tuple[int
     return [(i, m - (1 << 64) if m >> 63 else m) for i, m in enumerate(chosen)]
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits, over the last axis of words."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 def spanning(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of distinct fingerprints."""
-    left, right = [], []
-    rest = fps
+    """Links (row numbers) that span the components of distinct fingerprints, a row of words each."""
+    left, right = [np.zeros(0, np.intp)], [np.zeros(0, np.intp)]
+    rest = np.arange(len(fps))
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             step, front = front[:64], front[64:]
-            close = np.bitwise_count(step[:, None] ^ rest[None, :]) <= distance
+            close = _distance(fps[step][:, None], fps[rest][None, :]) <= distance
             hit = close.any(0)
             if hit.any():
                 left.append(step[close[:, hit].argmax(0)])
                 right.append(rest[hit])
                 front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
-    none = np.zeros(0, fps.dtype)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of complete runs of equal keys."""
-    n = len(keys)
+    """Links (row numbers) of complete runs of equal keys; runs of up to SMALL_RUN give all of theirs."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.concatenate([edge, [n]]))
-    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for at in edge[size == 2][None, :]:
-        close = np.bitwise_count(fps[at] ^ fps[at + 1]) <= distance
-        left.append(fps[at[close]])
-        right.append(fps[at[close] + 1])
-    for at, many in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+    size = np.diff(np.concatenate([edge, [len(keys)]]))
+    left, right = [np.zeros(0, np.intp)], [np.zeros(0, np.intp)]
+    small = np.repeat(size <= SMALL_RUN, size)
+    for lag in range(1, min(int(size.max(initial=1)), SMALL_RUN)):
+        at = np.flatnonzero(small[:-lag] & (keys[lag:] == keys[:-lag]))
+        at = at[_distance(fps[at], fps[at + lag]) <= distance]
+        left.append(at)
+        right.append(at + lag)
+    for at, many in zip(edge[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
         a, b = spanning(fps[at : at + many], distance)
-        left.append(a)
-        right.append(b)
+        left.append(a + at)
+        right.append(b + at)
     return np.concatenate(left), np.concatenate(right)
 
 
 def _run_links(distance: int, tile: int | None):
-    """Reads rows (key, fp) sorted by key; writes links (a, b, null), and rows (null, fp, key) of runs beyond `tile`."""
+    """Reads rows (key, node, words of the fingerprint) sorted by key; writes links of nodes (a, b), and of runs beyond `tile` the rows (key, b)."""
 
     def rows(a, b, key) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([a, b, key], ["a", "b", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in (a, b, key)], ["a", "b", "key"])
 
     def none(n: int) -> pa.Array:
         return pa.nulls(n, pa.int64())
 
-    def signed(x: np.ndarray) -> pa.Array:
-        return pa.array(x.view(np.int64))
+    def linked(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys) > 1:
+            a, b = _links(keys, fps, distance)
+            if len(a):
+                yield rows(nodes[a], nodes[b], none(len(a)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        passing = None
+        held, passing = None, None
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([held, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
-            if not len(keys):
+            if not batch.num_rows:
                 continue
+            keys, nodes, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fps = np.stack([w.astype(np.int64).view(np.uint64) for w in words], 1)
+            if held is not None:
+                keys, nodes, fps = np.concatenate([held[0], keys]), np.concatenate([held[1], nodes]), np.concatenate([held[2], fps])
+                held = None
             if passing is not None:
                 ours = int(np.searchsorted(keys, passing, "right"))
                 if ours:
-                    yield rows(none(ours), signed(fps[:ours]), pa.array(keys[:ours]))
-                keys, fps = keys[ours:], fps[ours:]
+                    yield rows(none(ours), nodes[:ours], keys[:ours])
+                keys, nodes, fps = keys[ours:], nodes[ours:], fps[ours:]
                 if not len(keys):
-                    held_keys, held = keys, fps
                     continue
                 passing = None
             open_run = int(np.searchsorted(keys, keys[-1], "left"))
-            if tile:  # runs that ended inside this batch may be long, too
-                edge = np.flatnonzero(np.concatenate([[True], keys[1:open_run] != keys[: max(open_run - 1, 0)]])) if open_run else np.zeros(0, int)
+            done = np.arange(open_run)
+            if tile and open_run:  # runs that ended inside this batch may be long, too
+                edge = np.flatnonzero(np.concatenate([[True], keys[1:open_run] != keys[: open_run - 1]]))
                 size = np.diff(np.concatenate([edge, [open_run]]))
                 long = np.repeat(size > tile, size)
                 if long.any():
-                    yield rows(none(int(long.sum())), signed(fps[:open_run][long]), pa.array(keys[:open_run][long]))
-                done = ~long
-            else:
-                done = slice(None)
-            if open_run:
-                a, b = _links(keys[:open_run][done], fps[:open_run][done], distance) if len(keys[:open_run][done]) else (fps[:0], fps[:0])
-                if len(a):
-                    yield rows(signed(a), signed(b), none(len(a)))
-            held_keys, held = keys[open_run:], fps[open_run:]
-            if tile and len(held) > tile:
-                passing = held_keys[0]
-                yield rows(none(len(held)), signed(held), pa.array(held_keys))
-                held_keys, held = held_keys[:0], held[:0]
-        if len(held) > 1:
-            a, b = _links(held_keys, held, distance)
-            if len(a):
-                yield rows(signed(a), signed(b), none(len(a)))
+                    yield rows(none(int(long.sum())), nodes[:open_run][long], keys[:open_run][long])
+                done = np.flatnonzero(~long)
+            yield from linked(keys[done], nodes[done], fps[done])
+            held = keys[open_run:], nodes[open_run:], fps[open_run:]
+            if tile and len(held[0]) > tile:
+                passing = held[0][0]
+                yield rows(none(len(held[0])), held[1], held[0])
+                held = None
+        if held is not None:
+            yield from linked(*held)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect what pairs within `distance` bits connect. fps: distinct fp."""
-    keys = F.array(*[F.struct(F.col("fp").bitwiseAND(F.lit(m)).alias("bits"), F.lit(i).alias("choice")) for i, m in block_keys(blocks, distance)])
-    dealt = fps.select("fp", F.explode(keys).alias("k")).select(F.xxhash64("k.choice", "k.bits").alias("key"), "fp")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(dealt.mapInArrow(_run_links(distance, tile), "a long, b long, key long"), "simhash-links")
+def block_links(dealt: DataFrame, distance: int, tile: int) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints share a key and are close. dealt: key, node, then the words of the fingerprint."""
+    words = dealt.columns[2:]
+    sorted_runs = dealt.repartition("key").sortWithinPartitions("key", "node")
+    found = materialize(sorted_runs.mapInArrow(_run_links(distance, tile), "a long, b long, key long"), "simhash-links")
     links = found.where("key is null").select("a", "b")
-    long = found.where("key is not null").select("key", F.col("b").alias("fp"))
-    sizes = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    cells = long.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    cells = cells.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    long = found.where("key is not null").select("key", F.col("b").alias("node"))
+    n_long = long.count()
+    if not n_long:
+        return links.distinct()
+    sizes = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"), F.count(F.lit(1)).alias("n"))
+    fps = dealt.select("node", *words).distinct()
+    cells = join_hot(long, sizes, "key", n_long).withColumn("tile", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    cells = cells.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "node").join(fps, "node").select("key", "node", *words)
+    cells = cells.repartition("key").sortWithinPartitions("key", "node")
     return links.unionByName(cells.mapInArrow(_run_links(distance, None), "a long, b long, key long").select("a", "b")).distinct()
 
 
+def fingerprint_links(fps: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect what pairs within `distance` bits connect. fps: distinct fp, which are the nodes, too."""
+    keys = F.array(*[F.struct(F.col("fp").bitwiseAND(F.lit(m)).alias("bits"), F.lit(i).alias("choice")) for i, m in block_keys(blocks, distance)])
+    dealt = fps.select("fp", F.explode(keys).alias("k")).select(F.xxhash64("k.choice", "k.bits").alias("key"), F.col("fp").alias("node"), F.col("fp").alias("word"))
+    return block_links(dealt, distance, tile)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
     """docs: doc_id, text. A row per document: doc_id, fingerprint, component_id, text_key, component (a fingerprint of it)."""
-    marked = materialize(fingerprints(docs, shingle), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    marked = materialize(fingerprints(docs, shingle), "simhash", counted=True)
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-distinct", counted=True)
     components = connected_components(fingerprint_links(distinct.select("fp"), blocks, distance))
     labelled = distinct.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "component").select("fp", "component", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "component")
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_hot(labelled, least, "component", distinct._meshlark_rows).select("fp", "component", "component_id", F.col("copies").alias("n"))
+    return join_hot(marked, named, "fp", marked._meshlark_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "component")
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> np.ndarray:
+    """`words` times 64 bits over the distinct shingles of a text; zeros for a text without words."""
+    data = (text or "").encode().lower()
+    with np.errstate(over="ignore"):
+        hashes = np.unique(shingle_hashes(word_hashes(data), shingle)) if data else np.zeros(0, np.uint64)
+        counts = np.zeros(64 * words, np.int64)
+        for at in range(0, len(hashes), 16384):
+            part = np.stack([_mixed(hashes[at : at + 16384] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64)) for w in range(words)], 1)
+            bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+            for b in range(0, len(bits), 255):  # sums of up to 255 bits fit a byte
+                counts += bits[b : b + 255].sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def wide_plan(n: int, words: int = WIDE, meant: int = MEANT) -> tuple[int, int]:
+    """Bits of a block, and how many permutations are cut into blocks, for n fingerprints."""
+    bits = min(28, max(12, (max(n, 2) - 1).bit_length()))
+    needed = math.log(0.05) / math.log1p(-((1 - meant / (64 * words)) ** bits))
+    return bits, max(1, math.ceil(needed / (64 * words // bits)))
+
+
+def wide_keys(fps: np.ndarray, bits: int, permutations: int) -> np.ndarray:
+    """Keys of each fingerprint (a row of words): a column a block and permutation."""
+    spread = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+    per, out = spread.shape[1] // bits, []
+    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+    for p in range(permutations):
+        order = np.random.default_rng(p).permutation(spread.shape[1])
+        for block in range(per):
+            value = spread[:, order[block * bits : (block + 1) * bits]].astype(np.float64) @ powers.astype(np.float64)
+            out.append(value.astype(np.int64) << np.int64(16) | np.int64(p * per + block))
+    return np.stack(out, 1)
+
+
+def representatives(docs: DataFrame, distance: int = WIDE_DISTANCE, tile: int = TILE) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text) of one document of each group of near-duplicates: the smallest doc_id (null last), of its texts the least key.
+
+    docs: doc_id, text. Texts without words are one group. Repeated rows give
+    one row; an empty table none.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    columns = [f"w{i}" for i in range(WIDE)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], ["doc_id", "text_key", *columns])
+
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(mark, f"doc_id {id_type}, text_key long, {', '.join(f'{c} long' for c in columns)}")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    distinct = marked.groupBy(*columns).agg(first).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "simhash-wide", counted=True)
+    bits, permutations = wide_plan(distinct._meshlark_rows)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                node, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                keys = wide_keys(np.stack(words, 1).astype(np.int64).view(np.uint64), bits, permutations)
+                many = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(x, many)) for x in (node, *words)]], ["key", "node", *columns])
+
+    dealt = distinct.select("node", *columns).mapInArrow(deal, f"key long, node long, {', '.join(f'{c} long' for c in columns)}")
+    components = connected_components(block_links(dealt, distance, tile))
+    labelled = distinct.select("node", "first").join(components, "node", "left")
+    return labelled.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")

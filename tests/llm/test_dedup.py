@@ -108,6 +108,67 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+def five_word_likeness(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_wide_search_finds_likeness_of_four_fifths_and_leaves_the_unlike(spark):
+    rng = random.Random(21)
+    texts, alike, unlike = [], [], []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for share in (0.01, 0.02, 0.2):
+            edited = [w if rng.random() > share else f"w{rng.randrange(5000)}" for w in words]
+            likeness = five_word_likeness(texts[-1], " ".join(edited))
+            (alike if likeness >= 0.8 else unlike if likeness < 0.6 else []).append((" ".join(words), " ".join(edited)))
+    pairs = alike + unlike
+    docs = spark.createDataFrame([(2 * i + side, pair[side]) for i, pair in enumerate(pairs) for side in (0, 1)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.representatives(docs.where("doc_id % 2 = 0").union(docs.where("doc_id % 2 = 1"))).collect()}
+    firsts = {}
+    for i, (a, _) in enumerate(pairs):
+        firsts.setdefault(a, 2 * i)
+    assert {d for d in kept if d % 2 == 0} == set(firsts.values())  # originals: copies of one text are one
+    missed = [i for i in range(len(alike)) if 2 * i + 1 in kept and pairs[i][0] != pairs[i][1]]
+    assert len(alike) > 100 and len(missed) <= 0.06 * len(alike)
+    assert len(unlike) > 80 and all(2 * i + 1 in kept for i in range(len(alike), len(pairs)))
+
+
+@pytest.mark.parametrize("tile", [8192, 5])
+def test_wide_search_equals_brute_force_where_pairs_are_close(spark, tile):
+    rng = random.Random(5)
+    texts = []
+    for c in range(6):
+        words = [f"c{c}w{i}" for i in range(400)]
+        texts += [" ".join(words[:k] + [f"new{rng.random()}"] + words[k:]) for k in rng.sample(range(400), 12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, None), (900, ""), (901, None), (3, texts[3]), (3, "another text with this id"), (950, "x" * 300000)]
+    kept = simhash.representatives(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string"), tile=tile)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([0, 12, 24, 36, 48, 60, 900, 3, 950])
+    assert simhash.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wide_fingerprint_is_that_of_plain_loops():
+    assert not simhash.wide_fingerprint(None).any() and not simhash.wide_fingerprint(" \t").any()
+    from meshlark.llm.minhash import _mixed, shingle_hashes, word_hashes
+
+    for text in ("One two", " ".join(f"w{i % 70}" for i in range(900))):
+        words = text.lower().encode().split()
+        with np.errstate(over="ignore"):
+            hashes = {int(shingle_hashes(word_hashes(b" ".join(words[i : i + 5])))[0]) for i in range(max(1, len(words) - 4))}
+            want = []
+            for w in range(simhash.WIDE):
+                mixed = [int(_mixed(np.array([h], np.uint64) + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64))[0]) for h in hashes]
+                want.append(sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed)))
+        assert simhash.wide_fingerprint(text).tolist() == want
+
+
+def test_hot_component_and_fingerprint_are_named_whole(spark):
+    rows = [(i, "same words in all of these texts") for i in range(3000)] + [(5000 + i, f"a lone text {i} of its own kind {i * 7}") for i in range(50)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()
+    assert len(got) == 3050 and all(r.component_id == 0 for r in got if r.doc_id < 3000)
+
+
 def test_minhash_estimates_without_bias():
     rng, errors = random.Random(4), []
     for _ in range(150):

@@ -24,7 +24,7 @@ def test_pipeline_keeps_what_plain_stages_keep(spark, tmp_path):
     model = toxicity.learn(read, spark.read.parquet(f"{folder}/labels.parquet"))
     words = toxicity.WordMargins(model.margin)
     clean = [d for d in docs if toxicity.score(d[1], words, model.bias) < 0.5]
-    marks = [simhash.fingerprint(d[1]) & (1 << 64) - 1 for d in clean]
+    marks = [int.from_bytes(simhash.wide_fingerprint(d[1]).tobytes(), "little") for d in clean]
     parent = list(range(len(clean)))
 
     def root(x):
@@ -34,7 +34,7 @@ def test_pipeline_keeps_what_plain_stages_keep(spark, tmp_path):
 
     for i in range(len(clean)):
         for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= 4:
+            if (marks[i] ^ marks[j]).bit_count() <= simhash.WIDE_DISTANCE:
                 parent[root(i)] = root(j)
     best = {}
     for i, d in enumerate(clean):
