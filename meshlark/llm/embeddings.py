@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from meshlark.operators.cluster import materialize
 from meshlark.operators.components import connected_components
+from meshlark.operators.skew import join_hot
 
 THRESHOLD = 0.9
 BLOCK_ROWS = 8192
@@ -201,12 +202,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
     """embeddings: vec_id, embedding. A row per vector: vec_id, n_links, component_id, kept."""
     id_type = embeddings.schema["vec_id"].dataType.simpleString()
     read = embeddings.select("vec_id", "embedding").mapInArrow(_read, f"vec_id {id_type}, vector binary, dim int")
-    vectors = materialize(read.withColumn("row_id", F.monotonically_increasing_id()), "vectors")
-    found = materialize(vector_links(vectors.select("row_id", "vector", "dim"), vectors.count(), threshold, block_rows), "vector-links")
+    vectors = materialize(read.withColumn("row_id", F.monotonically_increasing_id()), "vectors", counted=True)
+    n = vectors._meshlark_rows
+    found = materialize(vector_links(vectors.select("row_id", "vector", "dim"), n, threshold, block_rows), "vector-links")
     counts = found.groupBy("row_id").agg(F.sum("links").alias("n_links"))
     components = connected_components(found.select(F.col("row_id").alias("a"), F.col("other").alias("b")))
     named = vectors.select("row_id", "vec_id").join(components.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     named = named.join(counts, "row_id", "left")
-    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(least, "component")
+    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    out = join_hot(named, least, "component", n)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
