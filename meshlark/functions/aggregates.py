@@ -27,13 +27,20 @@ def average(c) -> Column:
     return F.avg(_col(c).cast("double"))
 
 
+def _but_nan(c) -> Column:
+    """The value, null for NaN. The test of the type is folded away: only floats are looked at."""
+    c = _col(c)
+    return F.when(F.typeof(c).isin("double", "float") & (c.cast("string") == "NaN"), F.lit(None)).otherwise(c)
+
+
 def least(c) -> Column:
-    """Minimum; NaN compares with nothing and is left out."""
-    return F.min(F.when(~F.isnan(_col(c).cast("double")), _col(c)))
+    """Minimum of values of any ordered type; NaN compares with nothing and is left out."""
+    return F.min(_but_nan(c))
 
 
 def most(c) -> Column:
-    return F.max(F.when(~F.isnan(_col(c).cast("double")), _col(c)))
+    """Maximum, likewise."""
+    return F.max(_but_nan(c))
 
 
 def stddev_sample(c) -> Column:
@@ -52,7 +59,13 @@ def percentile_continuous(c, p: float) -> Column:
 
 
 def percentile_discrete(c, p: float) -> Column:
-    """The value of nearest rank ceil(p n), the first for 0; null for a p outside 0..1."""
+    """The value of nearest rank ceil(p n), the first for 0; null for a p outside 0..1.
+
+    For a column's name the engine counts equal values; a computed Column has its
+    group's values in one array, so give a name where groups are large.
+    """
+    if isinstance(c, str) and 0 <= p <= 1:
+        return F.expr(f"percentile_disc({float(p)!r}) within group (order by `{c}`)")
     values = F.array_sort(F.collect_list(_col(c)))
     rank = F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(float(p))).cast("int"))
     return F.try_element_at(values, rank) if 0 <= p <= 1 else F.lit(None)

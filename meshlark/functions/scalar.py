@@ -216,7 +216,7 @@ def _normalised(text: pd.Series, form: pd.Series) -> pd.Series:
 
 
 def normalize(s, form: str = "NFC") -> Column:
-    """Unicode normalisation; null for an unknown form. ASCII texts do not leave the JVM."""
+    """Unicode normalisation; null for an unknown form. Every text goes through a Pandas UDF: the engine has no such function."""
     s = _c(s)
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         return F.lit(None).cast("string")

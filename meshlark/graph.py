@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshlark.operators.cluster import materialize
 from meshlark.operators.ranks import sharded_running
 
 OUT, IN, BOTH = "out", "in", "both"
@@ -56,13 +57,17 @@ class PropertyGraph:
 
     @classmethod
     def from_frames(cls, nodes: DataFrame, rels: DataFrame, version: str | None = None) -> PropertyGraph:
-        """From plain frames: labels become sorted, empty strings absent, and `pos` is dealt by (src, staging order) where it is missing."""
+        """From plain frames: labels become sorted, empty strings absent, and `pos` is dealt by (src, staging order) where it is missing.
+
+        Dealt positions are written to the shared folder: they stay what they are however often the graph is read.
+        """
         nodes = _blank_is_absent(nodes, NODE_COLUMNS).withColumn("labels", F.array_sort("labels"))
         rels = _blank_is_absent(rels, REL_COLUMNS)
         if "pos" not in rels.columns:
             staged = rels.withColumn("_staged", F.monotonically_increasing_id()).withColumn("_all", F.lit(0))
             bounds = F.floor(F.col("src") / 4096)
             rels = sharded_running(staged.withColumn("_shard", bounds), ["_all"], "_shard", [F.col("src"), F.col("_staged")], F.lit(1), "pos").drop("_staged", "_all", "_shard")
+            rels = materialize(rels, "staged-rels")
         return cls(nodes, rels, version)
 
     @classmethod

@@ -69,17 +69,19 @@ def fold_via(links: DataFrame, projection: DataFrame) -> DataFrame:
 
 
 def co_occurring(first: DataFrame, second: DataFrame, distinct: str | None = None) -> DataFrame:
-    """x, y, n: walks from a through a shared node to b, first (a, mid) and second (mid, b), or distinct values of a column on the way.
+    """x, y, n: walks from a through a shared node to another b, first (a, mid) and second (mid, b), or distinct values of a column on the way.
+
+    An end does not occur with itself.
 
     Each side is counted by its ends before they meet, so a shared node with
     very many ends gives a row per pair of ends, not per pair of walks.
     """
     if distinct:
-        walks = first.join(second, "mid")
+        walks = first.join(second, "mid").where("a <> b")
         return walks.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.countDistinct(distinct).alias("n"))
     left = first.groupBy("a", "mid").agg(F.count(F.lit(1)).alias("m"))
     right = second.groupBy("mid", "b").agg(F.count(F.lit(1)).alias("k"))
-    return left.join(right, "mid").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum(F.col("m") * F.col("k")).alias("n"))
+    return left.join(right, "mid").where("a <> b").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum(F.col("m") * F.col("k")).alias("n"))
 
 
 def neighbor_groups(graph: PropertyGraph, sources: DataFrame, members: Step, project: list[Step]) -> DataFrame:

@@ -214,7 +214,7 @@ def aggregates(spark, d):
     rels = commerce_graph(spark, d).rel_scan("CONTAINS")
     return rels.groupBy("flag").agg(
         F.count(F.lit(1)).alias("n"), A.exact_sum(F.col("quantity").cast("long")).alias("quantity"), F.round(A.average("discount"), 6).alias("discount"), F.round(A.stddev_sample("quantity"), 6).alias("spread"),
-        A.percentile_continuous("quantity", 0.5).alias("median"), F.percentile_disc("quantity", 0.25).alias("quarter") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.25) within group (order by quantity)").alias("quarter"), A.least("price").alias("low"), A.most("price").alias("high"),
+        A.percentile_continuous("quantity", 0.5).alias("median"), A.percentile_discrete("quantity", 0.25).alias("quarter"), A.least("price").alias("low"), A.most("price").alias("high"),
     )
 
 
@@ -321,7 +321,10 @@ def algo_lcc(spark, d):
     return analytics.lcc(nodes, edges.select("frm", "to").unionAll(two)).select("node", F.round("value", 9).alias("value"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT l_suppkey AS s, l_partkey AS p, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey * 16 + l_linenumber) AS place
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), claims AS (SELECT s, p, arg_min(q, place) AS v FROM o WHERE place <= 5 AND q > 0 GROUP BY 1, 2)
+SELECT {NUMBER['Supplier']} * {SPACE} + s_suppkey AS node, 1.0::DOUBLE AS value, 1 AS depth FROM supplier
+UNION ALL SELECT {NUMBER['Part']} * {SPACE} + p, round(sum(v), 6), 2 FROM claims GROUP BY p""")
 def algo_propagate(spark, d):
     g = commerce_graph(spark, d)
     seeds = g.node_scan("Supplier").select(F.col("id").alias("node"), F.lit(1.0).alias("value"))
@@ -346,7 +349,7 @@ def kernel_fold(spark, d):
     return kernels.fold_via(g.rel_scan("PLACED"), groups)
 
 
-@query("SELECT a.p_brand AS x, b.p_brand AS y, count(*) AS n FROM lineitem l JOIN part a ON a.p_partkey = l.l_partkey JOIN lineitem m ON m.l_orderkey = l.l_orderkey JOIN part b ON b.p_partkey = m.l_partkey GROUP BY 1, 2")
+@query("SELECT a.p_brand AS x, b.p_brand AS y, count(*) AS n FROM lineitem l JOIN part a ON a.p_partkey = l.l_partkey JOIN lineitem m ON m.l_orderkey = l.l_orderkey JOIN part b ON b.p_partkey = m.l_partkey WHERE a.p_brand <> b.p_brand GROUP BY 1, 2")
 def kernel_co_occurring(spark, d):
     m = match(commerce_graph(spark, d)).node("p", "Part", props=("brand",)).hop("p", "CONTAINS", "o", IN).df
     first = m.select(F.col("p_brand").alias("a"), F.col("o").alias("mid"))
