@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshlark.functions import aggregates as A
 from meshlark.functions import scalar as S
 from meshlark.functions import temporal as TM
-from meshlark.graph import BOTH, IN, OUT, has_label
+from meshlark.graph import BOTH, IN, OUT, PropertyGraph, has_label
 from meshlark.operators import analytics, kernels, search, traversal
 from meshlark.operators.aggregate import aggregate
 from meshlark.plans import sets
@@ -462,3 +462,198 @@ def user_events(spark, d):
     g = commerce_graph(spark, d)
     m = over(g, g.node_scan("User").select(F.col("id").alias("u"))).hop("u", "DID", "e").node("e", "Event", props=("kind", "value"))
     return m.df.groupBy(_key("u").alias("user"), F.col("e_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(A.float_sum("e_value"), 4).alias("total"))
+
+
+# Aggregates, sets and expressions over more types
+
+
+@query("SELECT p_brand AS brand, min(p_name) AS first_name, max(p_type) AS last_type, quantile_disc(p_size, 0.5) AS middle, round(stddev_pop(p_retailprice), 6) AS spread, count(DISTINCT p_size) AS sizes, round(sum(p_retailprice), 4) AS total, CAST(min(p_size) AS BIGINT) AS least_size FROM part GROUP BY 1")
+def aggregates_of_parts(spark, d):
+    p = commerce_graph(spark, d).node_scan("Part")
+    return p.groupBy("brand").agg(
+        A.least("name").alias("first_name"), A.most("kind").alias("last_type"), A.percentile_discrete("size", 0.5).cast("int").alias("middle"), F.round(A.stddev_population("price"), 6).alias("spread"),
+        F.count_distinct("size").alias("sizes"), F.round(A.float_sum("price"), 4).alias("total"), A.least("size").alias("least_size"),
+    )
+
+
+@query("SELECT c_mktsegment AS segment, array_to_string(list_sort(list(DISTINCT n_name)), '|') AS nations FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def collect_distinct(spark, d):
+    m = match(commerce_graph(spark, d)).node("c", "Customer", props=("segment",)).hop("c", "IN_NATION", "n").node("n", "Nation", props=("name",))
+    return m.df.groupBy(F.col("c_segment").alias("segment")).agg(F.array_join(A.collect("n_name", distinct=True), "|").alias("nations"))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_acctbal > 9000")
+def union_all(spark, d):
+    g = commerce_graph(spark, d)
+    rich = lambda label: match(g).node("x", label, F.col("acctbal") > 9000).hop("x", "IN_NATION", "n").df.select(_key("n").alias("nation"))
+    return sets.union_all(rich("Customer"), rich("Supplier"))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_acctbal > 5000")
+def intersection(spark, d):
+    g = commerce_graph(spark, d)
+    rich = lambda label, least: match(g).node("x", label, F.col("acctbal") > least).hop("x", "IN_NATION", "n").df.select(_key("n").alias("nation"))
+    return sets.intersection(rich("Customer", 9000), rich("Supplier", 5000))
+
+
+def _few():
+    return S.is_in(F.when(F.col("size") <= 40, F.col("size")), F.array(*[F.lit(n).cast("long") for n in (1, 2, 3)]))
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS key, (p_size > 10) <> (p_size < 20) AS either, coalesce(CASE WHEN p_size > 40 THEN NULL ELSE p_size END IN (1, 2, 3), false) AS few, p_size > 40 AS unknown, p_name || '/' || p_brand AS both_names, trim(p_type) AS kind,
+string_split(p_type, ' ')[1] AS first_word, string_split(p_type, ' ')[-1] AS last_word, CAST(sign(p_size - 25) AS BIGINT) AS side, round(sqrt(p_retailprice), 6) AS root, round(ln(p_retailprice), 6) AS log, CAST(CAST(p_size AS VARCHAR) AS BIGINT) AS again FROM part""")
+def expressions_of_parts(spark, d):
+    p = commerce_graph(spark, d).node_scan("Part")
+    words = F.split("kind", " ")
+    return p.select(
+        "key", S.xor(F.col("size") > 10, F.col("size") < 20).alias("either"), S.is_true(_few()).alias("few"), _few().isNull().alias("unknown"), S.concat(S.concat(F.col("name"), F.lit("/")), F.col("brand")).alias("both_names"),
+        S.trim(F.col("kind")).alias("kind"), S.head(words).alias("first_word"), S.last(words).alias("last_word"), S.sign(F.col("size") - 25).cast("long").alias("side"), F.round(S.square_root(F.col("price")), 6).alias("root"), F.round(S.guarded("ln", F.col("price")), 6).alias("log"), S.to_integer(F.col("size").cast("string"), text=True).alias("again"),
+    )
+
+
+# More of patterns
+
+
+@query("SELECT r_name AS region, s_name AS supplier FROM region, supplier WHERE r_regionkey < 2 AND s_acctbal > 9000")
+def disconnected_pattern(spark, d):
+    m = match(commerce_graph(spark, d)).node("r", "Region", F.col("key") < 2, ("name",)).node("s", "Supplier", F.col("acctbal") > 9000, ("name",))
+    return m.df.select(F.col("r_name").alias("region"), F.col("s_name").alias("supplier"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS ord, count(*) AS n, CAST(sum(twice) AS BIGINT) AS twice FROM (SELECT o_orderkey, CAST(l_quantity AS BIGINT) * 2 AS twice FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45) GROUP BY 1 HAVING count(*) > 1")
+def let_and_having(spark, d):
+    m = match(commerce_graph(spark, d)).node("o", "Order").hop("o", "CONTAINS", "p", rel="l", props=("quantity",), where=F.col("quantity") > 45)
+    m = m.let(twice=F.col("l_quantity").cast("long") * 2)
+    return m.df.groupBy(_key("o").alias("ord")).agg(F.count(F.lit(1)).alias("n"), A.exact_sum("twice").alias("twice")).where("n > 1")
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS customer, CAST(p_partkey AS BIGINT) AS part, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+WHERE c_mktsegment = 'BUILDING' AND l_quantity >= 48 GROUP BY 1, 2""")
+def trail_acyclic(spark, d):
+    m = match(commerce_graph(spark, d)).node("c", "Customer", segment="BUILDING")
+    m = m.trail("c", ["PLACED", "CONTAINS"], "p", 2, 2, each=F.coalesce(F.col("quantity"), F.lit(50.0)) >= 48, acyclic=True, path="way").node("p", "Part")
+    return m.df.where("size(way.nodes) = 3 and size(way.rels) = 2").groupBy(_key("c").alias("customer"), _key("p").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CAST(a.l_suppkey AS BIGINT) AS first_supplier, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND b.l_suppkey <> a.l_suppkey AND b.l_quantity >= a.l_quantity JOIN part ON p_partkey = a.l_partkey WHERE p_size = 7 GROUP BY 1""")
+def trail_rising(spark, d):
+    g = commerce_graph(spark, d)
+    parts = g.node_scan("Part", size=7).select("id")
+    near = PropertyGraph(g.nodes, g.rel_scan("SUPPLIED").join(parts.withColumnRenamed("id", "to"), "to", "left_semi").drop("frm", "to"))
+    m = over(near, g.node_scan("Supplier").select(F.col("id").alias("s"))).trail("s", "SUPPLIED", "t", 2, 2, BOTH, rising="quantity", acyclic=True)
+    return m.df.groupBy(_key("s").alias("first_supplier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT x.kind, count(*) AS n FROM (SELECT CASE WHEN label = 'Supplier' THEN true ELSE false END AS kind FROM (SELECT 'Customer' AS label FROM customer UNION ALL SELECT 'Supplier' FROM supplier)) x GROUP BY 1")
+def is_labelled(spark, d):
+    g = commerce_graph(spark, d)
+    m = match(g).node("n", "Nation").hop("n", "IN_NATION", "x", IN).labelled("x", "kind", "Supplier")
+    return m.df.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS nation, (SELECT count(*) FROM region) AS regions FROM nation")
+def call_once(spark, d):
+    m = match(commerce_graph(spark, d)).node("n", "Nation", props=("name",)).call([], lambda b: b.node("r", "Region").df.agg(F.count(F.lit(1)).alias("regions")))
+    return m.df.select(F.col("n_name").alias("nation"), "regions")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, coalesce(min(s_acctbal), 0.0) AS least_balance, CAST(count(s_suppkey) AS BIGINT) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def kernel_neighbor_fold(spark, d):
+    g = commerce_graph(spark, d)
+    edges, suppliers = g.rel_scan("IN_NATION", IN), g.node_scan("Supplier")
+    least = kernels.neighbor_fold(edges, suppliers.select("id", "acctbal"), F.min("acctbal"))
+    many = kernels.neighbors_in(edges, suppliers.select("id")).groupBy(F.col("frm").alias("node")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return least.join(many, "node").select(_key("node").alias("nation"), F.col("value").alias("least_balance"), "suppliers")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(n_regionkey AS BIGINT) AS region, count(*) AS size FROM nation JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON k = n_nationkey WHERE n_regionkey > 0 GROUP BY 1, 2")
+def kernel_neighbor_groups(spark, d):
+    g = commerce_graph(spark, d)
+    found = kernels.neighbor_groups(g, g.node_scan("Nation").select("id"), ("IN_NATION", IN), [("IN_NATION", OUT), ("IN_REGION", OUT)])
+    return found.where(_key("group") > 0).select(_key("source").alias("nation"), _key("group").alias("region"), "size")
+
+
+@query("SELECT CAST(l_partkey AS BIGINT) AS part, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 5000 GROUP BY 1")
+def kernel_neighbor_counts(spark, d):
+    g = commerce_graph(spark, d)
+    return kernels.neighbor_counts(g.node_scan("Supplier", F.col("acctbal") > 5000).select("id"), g.rel_scan("SUPPLIED")).select(_key("node").alias("part"), "n")
+
+
+# More of grouped aggregation
+
+
+@query("SELECT label, CASE WHEN label = 'Supplier' THEN 1 ELSE 0 END AS \"is_Supplier\", count(*) AS n FROM (SELECT 'Customer' AS label, c_acctbal AS b FROM customer UNION ALL SELECT 'Supplier', s_acctbal FROM supplier) WHERE b IS NOT NULL GROUP BY 1, 2")
+def fluent_membership(spark, d):
+    return aggregate(commerce_graph(spark, d), "Customer", "Supplier").require_present("acctbal").by_label().by_membership("Supplier").run()
+
+
+@query(f"SELECT {NUMBER['Nation']} * {SPACE} + c_nationkey AS node, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 150000 GROUP BY 1")
+def fluent_hop(spark, d):
+    return aggregate(commerce_graph(spark, d), "Order").filter("total", ">", 150000).hop("PLACED", IN).hop("IN_NATION", OUT).run().withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"SELECT c_mktsegment AS segment, {NUMBER['Nation']} * {SPACE} + c_nationkey AS neighbor, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1, 2")
+def fluent_only_neighbors(spark, d):
+    g = commerce_graph(spark, d)
+    only = match(g).node("r", "Region", F.col("key") == 1).hop("r", "IN_REGION", "n", IN).df.select(F.col("n").alias("id"))
+    return aggregate(g, "Customer").by("segment").through_rels("IN_NATION", OUT, only).run()
+
+
+# Algorithms over the whole trade: customers, orders, parts and suppliers, with cycles and weights
+
+_TRADE = f"""nodes AS (SELECT {NUMBER['Customer']} * {SPACE} + c_custkey AS id FROM customer UNION ALL SELECT {NUMBER['Order']} * {SPACE} + o_orderkey FROM orders
+UNION ALL SELECT {NUMBER['Part']} * {SPACE} + p_partkey FROM part UNION ALL SELECT {NUMBER['Supplier']} * {SPACE} + s_suppkey FROM supplier),
+one_way AS (SELECT {NUMBER['Customer']} * {SPACE} + o_custkey AS a, {NUMBER['Order']} * {SPACE} + o_orderkey AS b, 1.0::DOUBLE AS w FROM orders
+UNION ALL SELECT {NUMBER['Order']} * {SPACE} + l_orderkey, {NUMBER['Part']} * {SPACE} + l_partkey, l_quantity FROM lineitem UNION ALL SELECT {NUMBER['Supplier']} * {SPACE} + l_suppkey, {NUMBER['Part']} * {SPACE} + l_partkey, l_quantity FROM lineitem),
+edges AS MATERIALIZED (SELECT a AS frm, b AS dst, w FROM one_way UNION ALL SELECT b, a, w FROM one_way)"""
+
+
+def _trade(spark, d):
+    g = commerce_graph(spark, d)
+    nodes = g.node_scan(has_label("Customer") | has_label("Order") | has_label("Part") | has_label("Supplier")).select("id")
+    return nodes, g.rel_scan(["PLACED", "CONTAINS", "SUPPLIED"], BOTH).select("frm", "to", "pos", F.coalesce("quantity", F.lit(1.0)).alias("weight"))
+
+
+def _rounds(first: str, step: str, rounds: int) -> str:
+    """`first` as r0, then `step` over the round before, each kept once."""
+    parts = [f"r0 AS MATERIALIZED ({first})", *[f"r{i} AS MATERIALIZED ({step.format(p=f'r{i - 1}')})" for i in range(1, rounds + 1)]]
+    return f"WITH {_TRADE}, deg AS (SELECT frm AS f, count(*) AS k FROM edges GROUP BY 1), {', '.join(parts)}"
+
+
+@query(_rounds("SELECT id, id AS v FROM nodes", "SELECT o.id, least(o.v, coalesce(m, o.v)) AS v FROM {p} o LEFT JOIN (SELECT dst, min(v) AS m FROM {p} JOIN edges ON frm = id GROUP BY 1) ON dst = o.id", 12) + " SELECT id AS node, v AS value FROM r12")
+def trade_wcc(spark, d):
+    return analytics.wcc(*_trade(spark, d))
+
+
+@query(_rounds(f"SELECT id, CASE WHEN id = {NUMBER['Supplier']} * {SPACE} + 1 THEN 0.0::DOUBLE END AS v FROM nodes", "SELECT o.id, least(o.v, m) AS v FROM {p} o LEFT JOIN (SELECT dst, min(v + w) AS m FROM {p} JOIN edges ON frm = id WHERE v IS NOT NULL GROUP BY 1) ON dst = o.id", 24) + " SELECT id AS node, coalesce(v, 'inf'::DOUBLE) AS value FROM r24")
+def trade_sssp(spark, d):
+    nodes, edges = _trade(spark, d)
+    return traversal.sssp(nodes, edges, NUMBER["Supplier"] * SPACE + 1)
+
+
+@query(_rounds(f"SELECT id, CASE WHEN id = {NUMBER['Customer']} * {SPACE} + 1 THEN 0 END AS v FROM nodes", "SELECT o.id, coalesce(o.v, m) AS v FROM {p} o LEFT JOIN (SELECT dst, min(v) + 1 AS m FROM {p} JOIN edges ON frm = id WHERE v IS NOT NULL GROUP BY 1) ON dst = o.id", 12) + " SELECT id AS node, CAST(coalesce(v, 9223372036854775807) AS BIGINT) AS value FROM r12")
+def trade_bfs(spark, d):
+    nodes, edges = _trade(spark, d)
+    return traversal.bfs(nodes, edges.select("frm", "to").distinct(), NUMBER["Customer"] * SPACE + 1)
+
+
+@query(_rounds("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS v FROM nodes", "SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (SELECT coalesce(sum(v), 0) FROM {p} WHERE id NOT IN (SELECT f FROM deg)) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g, 0) AS v FROM nodes n LEFT JOIN (SELECT dst, sum(v / k) AS g FROM {p} JOIN edges ON frm = id JOIN deg ON f = id GROUP BY 1) ON dst = n.id", 20) + " SELECT id AS node, round(v, 9) AS value FROM r20")
+def trade_pagerank(spark, d):
+    nodes, edges = _trade(spark, d)
+    return analytics.pagerank(nodes, edges).select("node", F.round("value", 9).alias("value"))
+
+
+@query(_rounds("SELECT id, id AS v FROM nodes", "SELECT o.id, coalesce(x.v, o.v) AS v FROM {p} o LEFT JOIN (SELECT frm, v FROM (SELECT frm, v, row_number() OVER (PARTITION BY frm ORDER BY count(*) DESC, v) AS r FROM edges JOIN {p} ON id = dst GROUP BY frm, v) WHERE r = 1) x ON x.frm = o.id", 4) + " SELECT id AS node, v AS value FROM r4")
+def trade_cdlp(spark, d):
+    nodes, edges = _trade(spark, d)
+    return analytics.cdlp(nodes, edges, 4)
+
+
+@query(f"""SELECT {NUMBER['Customer']} * {SPACE} + c_custkey AS start, {NUMBER['Part']} * {SPACE} + l_partkey AS target, min(l_quantity) + 1.0 AS cost FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_custkey <= 20 GROUP BY 1, 2""")
+def shortest_weighted(spark, d):
+    g = commerce_graph(spark, d)
+    edges = g.rel_scan(["PLACED", "CONTAINS"]).select("frm", "to", "quantity")
+    m = match(g).node("c", "Customer", F.col("key") <= 20).hop("c", "PLACED", "o").hop("o", "CONTAINS", "p")
+    ways = traversal.any_shortest(m.df.select(F.col("c").alias("start"), F.col("p").alias("target")), edges, weight="quantity")
+    return ways.where("size(nodes) = 3").select("start", "target", "cost")
