@@ -14,10 +14,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
     It is `spark.checkpoint.dir` of the session. Only where that is unset (a
-    local session, as in tests) a folder of this machine is chosen.
+    local session, as in tests) a folder of this machine is chosen; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "meshlark-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
