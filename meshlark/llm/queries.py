@@ -99,7 +99,7 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.substrings import dedup_substrings
 
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

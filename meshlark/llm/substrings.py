@@ -22,6 +22,7 @@ hash of the text, through buckets of both: all exact copies of a text have one
 hash, but their ids spread them. Rows alike in both keep one entry a window. The
 texts are shuffled once.
 
+Texts are read whole, however long; extra columns are left aside.
 Nulls: a null text has no words; a null id is larger than all others and
 smaller than none. Repeated rows keep their words alike: an equal id is not
 smaller. An empty table gives an empty result.
@@ -342,8 +343,8 @@ def _gather(key, table):
     return pa.table({"id": pa.array(own, mask=own == _NO_ID), "key": pa.array(keys[new]), "positions": pa.array([np.unique(positions[a:b]).tobytes() for a, b in zip(new.tolist(), ends, strict=True)], pa.binary())})
 
 
-def _strip(window: int):
-    """Rows (doc_id, text, positions): what is left of each text."""
+def _strip(window: int, with_text: bool = True):
+    """Rows (doc_id, text, positions): what is left of each text, as its digest and, with_text, itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,8 +365,12 @@ def _strip(window: int):
                 words_of.append(len(words))
                 removed_of.append(gone)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of, pa.int64()), pa.array(removed_of, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if with_text:
+                    kept_texts.append(kept.decode())
+            columns = {"doc_id": batch.column(0), "n_words": pa.array(words_of, pa.int64()), "n_removed": pa.array(removed_of, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            if with_text:
+                columns["kept_text"] = pa.array(kept_texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -380,11 +385,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(_gather, "id long, key int, positions binary")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: doc_id, text. A row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
+    """docs: doc_id, text. A row per document: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.hash("text").alias("key"))
     found = repeated_windows(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), window)
     found = found.withColumnRenamed("key", "found_key")
     joined = keyed.join(found, (F.col("key") == F.col("found_key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return joined.select("doc_id", "text", "positions").mapInArrow(_strip(window), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.select("doc_id", "text", "positions").mapInArrow(_strip(window, with_text), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{', kept_text string' if with_text else ''}")
