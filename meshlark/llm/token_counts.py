@@ -238,6 +238,8 @@ class CompiledTokenizer:
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE tokenizers compile")
+        if pre.get("use_regex") is False or any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("pre-tokens without the pattern and added tokens that take blanks or whole words do not compile")
         alphabet = _alphabet()
         names = {t: bytes(alphabet[c] for c in t) for t in model["vocab"] if all(c in alphabet for c in t)}
         special = {t["content"] for t in spec.get("added_tokens", [])}
