@@ -66,6 +66,21 @@ def is_in(x, values) -> Column:
     return _c(x).isin(*values) if values else F.when(_c(x).isNotNull(), F.lit(False))
 
 
+_TYPES = {"integer": "tinyint|smallint|int|bigint", "float": "float|double", "string": "string", "boolean": "boolean", "list": "array<.*>"}
+
+
+def is_typed(x, kind: str) -> Column:
+    """IS TYPED integer, float, string, boolean or list; a null is of none. Points in time are integers here."""
+    x = _c(x)
+    return F.typeof(x).rlike(f"^({_TYPES[kind.lower()]})$") & x.isNotNull()
+
+
+def element_id(c, rel: bool = False) -> Column:
+    """Text of a node's id; of a relationship's position with an r before it."""
+    text = _c(c).cast("long").cast("string")
+    return F.concat(F.lit("r"), text) if rel else text
+
+
 def all_of(values: Column, holds) -> Column:
     return F.forall(values, holds)
 

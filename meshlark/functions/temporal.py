@@ -5,29 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meshlark.functions.scalar import add, int_divide, multiply, subtract
+
 DAY = 86_400_000
+#: The calendar repeats after 400 years. Spark's own dates serve the years 2000..2399; others are moved there and back.
+CYCLE_YEARS, CYCLE_DAYS, DAY_OF_2000 = 400, 146_097, 10_957
+FAR_YEAR = 300_000_000
 _DATE = r"^([+-]?\d{1,9})-(\d{1,2})-(\d{1,2})"
 _ISO = _DATE + r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
 
 
+def _floor(a: Column, n: int) -> Column:
+    """Whole multiples of n at or below a, in long arithmetic; a may lie n * 2^37 from 0."""
+    return F.call_function("div", a + n * 2**37, F.lit(n).cast("long")) - 2**37
+
+
+def _day(millis: Column) -> Column:
+    return _floor(F.shiftright(millis.cast("long"), 10), DAY >> 10)
+
+
+def _date(day: Column) -> tuple[Column, Column]:
+    """Whole cycles from 2000 on, and the date of that day within one."""
+    cycles = _floor(day.cast("long") - DAY_OF_2000, CYCLE_DAYS)
+    return cycles, F.date_from_unix_date((day - cycles * CYCLE_DAYS).cast("int"))
+
 
 def component(millis: Column, unit: str) -> Column:
     """year month day hour minute second millisecond epochMillis epochSeconds; floors before 1970."""
-    day, within = F.floor(millis / DAY).cast("int"), F.pmod(millis, F.lit(DAY))
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day)
+    day, within = _day(millis), F.pmod(millis, F.lit(DAY))
+    cycles, date = _date(day)
     return {
-        "year": F.year(date).cast("long"), "month": F.month(date).cast("long"), "day": F.dayofmonth(date).cast("long"),
+        "year": F.year(date).cast("long") + cycles * CYCLE_YEARS, "month": F.month(date).cast("long"), "day": F.dayofmonth(date).cast("long"),
         "hour": F.floor(within / 3_600_000), "minute": F.floor(within / 60_000) % 60, "second": F.floor(within / 1000) % 60,
-        "millisecond": within % 1000, "epochMillis": millis, "epochSeconds": F.floor(millis / 1000),
+        "millisecond": within % 1000, "epochMillis": millis, "epochSeconds": F.call_function("div", millis - F.pmod(millis, F.lit(1000)), F.lit(1000).cast("long")),
     }[unit]
 
 
 def from_parts(year, month, day, hour=0, minute=0, second=0, millisecond=0) -> Column:
-    """Epoch milliseconds; null for parts out of range. Days up to 31 pass in every month and run over."""
+    """Epoch milliseconds; null for parts out of range, or beyond 64 bits. Days up to 31 pass in every month and run over."""
     y, m, d, h, mi, s, ms = ((c if isinstance(c, Column) else F.lit(c)).cast("long") for c in (year, month, day, hour, minute, second, millisecond))
-    fine = m.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59) & ms.between(0, 999) & y.between(1, 9999)
-    first = F.when(fine, F.make_date(F.when(fine, y).cast("int"), F.when(fine, m).cast("int"), F.lit(1)))
-    return F.unix_date(first).cast("long") * DAY + (d - 1) * DAY + h * 3_600_000 + mi * 60_000 + s * 1000 + ms
+    fine = m.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59) & ms.between(0, 999) & y.between(-FAR_YEAR, FAR_YEAR)
+    y, m = F.when(fine, y), F.when(fine, m)
+    cycles = _floor(y - 2000, CYCLE_YEARS)
+    day = F.unix_date(F.make_date((y - cycles * CYCLE_YEARS).cast("int"), m.cast("int"), F.lit(1))) + cycles * CYCLE_DAYS + d - 1
+    return add(multiply(day, F.lit(DAY).cast("long")), h * 3_600_000 + mi * 60_000 + s * 1000 + ms)
 
 
 def parse_iso(text: Column) -> Column:
@@ -39,7 +60,8 @@ def parse_iso(text: Column) -> Column:
 
 
 def render_date(millis: Column) -> Column:
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / DAY).cast("int")), "yyyy-MM-dd")
+    """YYYY-MM-DD; years before 0 have a sign, those after 9999 more digits."""
+    return F.when(millis.isNotNull(), F.format_string("%04d-%02d-%02d", *[component(millis, unit) for unit in ("year", "month", "day")]))
 
 
 def render_datetime(millis: Column) -> Column:
@@ -51,7 +73,7 @@ def render_datetime(millis: Column) -> Column:
 
 def date_of(millis: Column) -> Column:
     """Midnight of the day, in UTC."""
-    return F.floor(millis / DAY) * DAY
+    return _day(millis) * DAY
 
 
 def duration(years=0, months=0, weeks=0, days=0, hours=0, minutes=0, seconds=0, milliseconds=0) -> Column:
@@ -80,11 +102,40 @@ def duration_component(d: Column, unit: str) -> Column:
 
 def plus(millis: Column, d: Column, sign: int = 1) -> Column:
     """A point moved by a duration: months first, the day held to the month's end, then days, then milliseconds."""
-    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / DAY).cast("int"))
-    moved = F.unix_date(F.add_months(date, (d["months"] * sign).cast("int"))).cast("long")
+    cycles, date = _date(_day(millis))
+    months = d["months"] * sign
+    turns = _floor(months, CYCLE_YEARS * 12)
+    moved = F.unix_date(F.add_months(date, (months - turns * CYCLE_YEARS * 12).cast("int"))) + (cycles + turns) * CYCLE_DAYS
     return (moved + d["days"] * sign) * DAY + F.pmod(millis, F.lit(DAY)) + d["millis"] * sign
 
 
 def between(a: Column, b: Column) -> Column:
     """a - b as a duration of milliseconds."""
     return duration(milliseconds=a - b)
+
+
+def _each(part) -> Column:
+    """A duration of the parts that `part` makes of each unit; null if one of them is."""
+    parts = [part(unit) for unit in ("months", "days", "millis")]
+    whole = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
+    return F.when(whole, F.struct(*[p.cast("long").alias(unit) for p, unit in zip(parts, ("months", "days", "millis"), strict=True)]))
+
+
+def add_durations(a: Column, b: Column) -> Column:
+    """Unit by unit; null beyond 64 bits."""
+    return _each(lambda unit: add(a[unit], b[unit]))
+
+
+def subtract_durations(a: Column, b: Column) -> Column:
+    return _each(lambda unit: subtract(a[unit], b[unit]))
+
+
+def scale_duration(d: Column, n) -> Column:
+    """Each unit times a whole number; null beyond 64 bits."""
+    n = (n if isinstance(n, Column) else F.lit(n)).cast("long")
+    return _each(lambda unit: multiply(d[unit], n))
+
+
+def divide_duration(d: Column, n) -> Column:
+    """Each unit divided by a whole number, cut towards 0; null by 0. Nothing is carried from unit to unit."""
+    return _each(lambda unit: int_divide(d[unit], n))

@@ -58,6 +58,11 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty() if rows is None else rows == 0
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what `materialize` wrote for `df`, once nothing reads it."""
     path = getattr(df, "_meshlark_path", None)

@@ -139,3 +139,14 @@ def neighbor_fold(edges: DataFrame, values: DataFrame, fold: Column) -> DataFram
     """node, value: an aggregate over the values of all neighbours. values: id and columns that `fold` reads."""
     named = values.withColumnRenamed("id", "to")
     return edges.select("frm", "to").join(named, "to").groupBy(F.col("frm").alias("node")).agg(fold.alias("value"))
+
+
+def joined_counts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """on, n: rows that joining left and right on these columns would have, for each value.
+
+    Each side is counted before they meet, so the walks over a hub are multiplied
+    and never listed.
+    """
+    a = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_a"))
+    b = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_b"))
+    return a.join(b, on).select(*on, (F.col("_a") * F.col("_b")).alias("n"))

@@ -54,6 +54,60 @@ def search_ranked(df: DataFrame, key: str, text: str, query: str, k1: float = 1.
     return counted.where(some).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
+class TextIndex:
+    """Postings (bucket, term, key, tf, len) and one row of statistics, kept as Parquet.
+
+    Postings are partitioned by a hash of the term and sorted by it, so a query
+    opens the buckets of its own terms alone, however long it is after the index
+    was written; postings of one term are spread over several files by key.
+    """
+
+    def __init__(self, postings: DataFrame, stats: DataFrame, buckets: int):
+        self.postings, self.stats, self.buckets = postings, stats, buckets
+
+    @classmethod
+    def write(cls, df: DataFrame, key: str, text: str, path: str, buckets: int = 64, spread: int = 8) -> TextIndex:
+        """Index the rows of df; a null text has no token but counts as a row, as in `search_ranked`."""
+        read = df.select(F.col(key).alias("key"), F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")).alias("_t")).withColumn("len", F.size("_t").cast("long"))
+        counts = F.transform(F.array_distinct("_t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("_t", lambda x: x == w)).cast("long").alias("tf")))
+        postings = read.select("key", "len", F.inline(counts)).withColumn("bucket", _bucket(F.col("term"), buckets))
+        postings.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(spread))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        read.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+        return cls.open(df.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark, path: str) -> TextIndex:
+        stats = spark.read.parquet(f"{path}/stats")
+        return cls(spark.read.parquet(f"{path}/postings"), stats.select("n", "mean"), stats.first()["buckets"])
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        """Postings of the terms."""
+        spark = self.postings.sparkSession
+        wanted = spark.range(1).select(F.explode(F.array_distinct(F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: _bucket(t, self.buckets))))).collect() if terms else []
+        return self.postings.where(F.col("bucket").isin([r[0] for r in wanted]) & F.col("term").isin(terms))
+
+    def ranked(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """key, score: BM25 of rows with any token of the query, as `search_ranked` gives it."""
+        terms = query_terms(self.postings.sparkSession, query)
+        hits = self.hits(list(dict.fromkeys(terms)))
+        times = F.lit(0)
+        for term in dict.fromkeys(terms):
+            times = F.when(F.col("term") == term, F.lit(terms.count(term))).otherwise(times)
+        rare = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
+        tf, rest = F.col("tf"), k1 * (1 - b + b * F.col("len") / F.col("mean"))
+        one = times * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k1 + 1) / (tf + rest)
+        return hits.join(F.broadcast(rare), "term").crossJoin(F.broadcast(self.stats)).groupBy("key").agg(F.sum(one).alias("score"))
+
+    def having_all(self, query: str) -> DataFrame:
+        """key of rows with every token of the query; none for a query without tokens."""
+        terms = list(dict.fromkeys(query_terms(self.postings.sparkSession, query)))
+        return self.hits(terms).groupBy("key").agg(F.count_distinct("term").alias("_n")).where(F.col("_n") == len(terms)).select("key")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(term), F.lit(buckets))
+
+
 def query_terms(spark, query: str) -> list[str]:
     """Tokens of a query, cut by the same rule as the texts."""
     return spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]

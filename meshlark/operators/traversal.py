@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.operators.cluster import is_empty, materialize
@@ -17,20 +17,23 @@ from meshlark.operators.cluster import is_empty, materialize
 FAR = 2**63 - 1
 
 
-def reachable(starts: DataFrame, edges: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, low: int = 0, high: int | None = None, free: Column | None = None) -> DataFrame:
     """start, node, depth: nodes met from each start at depth low..high, each once, at the least such depth.
 
-    starts: start. edges: frm, to. Nodes are expanded when first met; one that is
+    starts: start, and node where a start is not a node itself. edges: frm, to.
+    free: which edges a start may take, over start, frm and to. Nodes are expanded when first met; one that is
     met again, the start through a cycle among them, is still emitted if it was
     not before.
     """
-    frontier = materialize(starts.select("start", F.col("start").alias("node")), "reach")
+    starts = starts.select("start", F.col("node" if "node" in starts.columns else "start").alias("node"))
+    frontier = materialize(starts, "reach")
     expanded = frontier
     emitted = [frontier.withColumn("depth", F.lit(0))] if low == 0 else []
     depth = 0
     while high is None or depth < high:
         depth += 1
-        met = materialize(frontier.join(edges, F.col("node") == F.col("frm")).select("start", F.col("to").alias("node")).distinct(), "reach-met", True)
+        on = F.col("node") == F.col("frm")
+        met = materialize(frontier.join(edges, on if free is None else on & free).select("start", F.col("to").alias("node")).distinct(), "reach-met", True)
         if is_empty(met):
             break
         if depth >= low:
@@ -44,7 +47,7 @@ def reachable(starts: DataFrame, edges: DataFrame, low: int = 0, high: int | Non
         if is_empty(frontier):
             break
         expanded = materialize(expanded.unionByName(frontier), "reach-expanded")
-    empty = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).limit(0)
+    empty = starts.select("start", "node", F.lit(0).alias("depth")).limit(0)
     return reduce(DataFrame.unionByName, emitted, empty)
 
 
@@ -81,7 +84,7 @@ def cheapest(sources: DataFrame, edges: DataFrame, most_hops: int | None = None)
     equally cheap ways the one over the least parent stands. With most_hops the
     cost is the least over ways of at most that many edges.
     """
-    edges = edges.where(F.col("weight").isNotNull() & ~F.isnan("weight") & (F.col("weight") >= 0) & (F.col("weight") < float("inf")))
+    edges = edges.where(_open(F.col("weight")))
     best = materialize(sources.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent")).distinct(), "relax")
     changed, hops = best, 0
     while most_hops is None or hops < most_hops:
@@ -117,24 +120,46 @@ def paths_back(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return done.drop("parent")
 
 
-def any_shortest(pairs: DataFrame, edges: DataFrame, high: int | None = None, weight: str | None = None) -> DataFrame:
+def with_rels(ways: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """Ways with `rels`, the positions of their relationships in order; of parallel ones the lightest, then the least position.
+
+    ways: start, target, nodes, each once. edges: frm, to, pos, and `weight` if named.
+    """
+    hops = F.zip_with(F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.slice("nodes", F.lit(2), F.size("nodes") - 1), lambda a, b: F.struct(a.alias("frm"), b.alias("to")))
+    steps = ways.select("start", "target", "nodes", F.posexplode(hops).alias("_i", "_hop")).select("start", "target", "nodes", "_i", "_hop.frm", "_hop.to")
+    load = _load(weight) if weight else F.lit(1.0)
+    chosen = edges.where(_open(load)).groupBy("frm", "to").agg(F.min(F.struct(load.alias("w"), F.col("pos").alias("pos")))["pos"].alias("pos"))
+    listed = steps.join(chosen, ["frm", "to"]).groupBy("start", "target", "nodes").agg(F.array_sort(F.collect_list(F.struct("_i", "pos")))["pos"].alias("rels"))
+    return ways.join(listed, ["start", "target", "nodes"], "left").withColumn("rels", F.coalesce("rels", F.expr("cast(array() as array<bigint>)")))
+
+
+def _load(weight: str) -> Column:
+    return F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+
+
+def _open(weight: Column) -> Column:
+    return weight.isNotNull() & ~F.isnan(weight) & (weight >= 0) & (weight < float("inf"))
+
+
+def any_shortest(pairs: DataFrame, edges: DataFrame, high: int | None = None, weight: str | None = None, rels: bool = False) -> DataFrame:
     """start, target, nodes, cost: one shortest way for each pair that has one; of equals that over least parents.
 
-    Without `weight` the cost is the number of steps. A node reaches itself by
+    rels: also the positions of its relationships, for which edges need `pos`. Without `weight` the cost is the number of steps. A node reaches itself by
     the way of no step.
     """
     pairs = pairs.select("start", "target").where("start is not null and target is not null").distinct()
     sources = pairs.select("start").distinct()
     if weight:
-        found = cheapest(sources, edges.withColumn("weight", F.coalesce(F.col(weight).cast("double"), F.lit(1.0))), high)
+        found = cheapest(sources, edges.withColumn("weight", _load(weight)), high)
     else:
         found = bfs_distances(sources, edges, high, pairs).withColumn("cost", F.col("dist").cast("double"))
     ways = paths_back(found, pairs)
+    ways = with_rels(ways, edges, weight) if rels else ways
     return ways.join(found.select("start", F.col("node").alias("target"), "cost"), ["start", "target"])
 
 
-def all_shortest(pairs: DataFrame, edges: DataFrame, high: int | None = None) -> DataFrame:
-    """start, target, nodes: every shortest chain of nodes for each pair; parallel relationships count once."""
+def all_shortest(pairs: DataFrame, edges: DataFrame, high: int | None = None, rels: bool = False) -> DataFrame:
+    """start, target, nodes: every shortest chain of nodes for each pair; parallel relationships count once. rels: their positions too, for which edges need `pos`."""
     pairs = pairs.select("start", "target").where("start is not null and target is not null").distinct()
     found = bfs_distances(pairs.select("start").distinct(), edges, high, pairs).select("start", "node", "dist")
     steps = edges.select("frm", "to").distinct()
@@ -145,7 +170,8 @@ def all_shortest(pairs: DataFrame, edges: DataFrame, high: int | None = None) ->
         back = back.join(found, ["start", "node", "dist"]).select("start", "target", "dist", F.array_prepend("nodes", F.col("node")).alias("nodes"))
         way = materialize(back, "chains")
         done, open_ways = done.unionByName(way.where("dist = 0")), way.where("dist > 0")
-    return done.select("start", "target", "nodes")
+    done = done.select("start", "target", "nodes")
+    return with_rels(done, edges) if rels else done
 
 
 def neighborhood(source: int, edges: DataFrame, low: int, high: int) -> DataFrame:

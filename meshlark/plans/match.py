@@ -18,11 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.graph import BOTH, IN, OUT, PropertyGraph, label_is
+from meshlark.operators.cluster import is_empty, materialize
 from meshlark.operators.traversal import reachable
 
 Block = Callable[["Bindings"], "Bindings"]
@@ -104,26 +106,28 @@ class Bindings:
         if not self.repeatable:
             for other, earlier, was_many in self.hops:
                 if _meet(kinds, other):
+                    if earlier is None:
+                        raise ValueError("a reach keeps no relationships; for a later hop over its types use trail(low, None)")
                     a, b = F.col(pair), F.col(earlier)
                     clash = F.arrays_overlap(a, b) if many and was_many else F.array_contains(a, b) if many else F.array_contains(b, a) if was_many else a == b
                     df = df.where(~F.coalesce(clash, F.lit(False)))
         return df
 
-    def trail(self, frm: str, types: str | list[str] | None, to: str, low: int, high: int, direction: str = OUT, each: Column | None = None, acyclic: bool = False, rels: str | None = None, path: str | None = None, rising: str | None = None) -> Bindings:
-        """Every trail of low..high relationships: one row each, no endpoint pair twice in a trail.
+    def trail(self, frm: str, types: str | list[str] | None, to: str, low: int, high: int | None, direction: str = OUT, each: Column | None = None, acyclic: bool = False, rels: str | None = None, path: str | None = None, rising: str | None = None) -> Bindings:
+        """Every trail of low..high relationships: one row each, no endpoint pair twice in a trail. Without `high` it goes on until no trail can grow.
 
         each: what every relationship must keep to. acyclic: no node twice.
         rising: a relationship property that must not fall along the trail; both
         are checked as the trail grows. rels, path: columns for the positions
         and for a struct of nodes and positions.
         """
-        if not 1 <= low <= high:
-            raise ValueError("a trail needs 1 <= low <= high; use reach otherwise")
+        if low < 0 or high is not None and high < max(low, 1):
+            raise ValueError("a trail needs 0 <= low <= high")
         kinds = None if types is None else {types} if isinstance(types, str) else set(types)
         edges = self.graph.rel_scan(types, direction, each).select("frm", "to", "pos", *([F.col(rising).alias("_key")] if rising else []))
         start = self.df.withColumns({"_at": F.col(frm), "_pairs": F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), "_rels": F.expr("cast(array() as array<bigint>)"), "_nodes": F.array(frm)})
-        level, found = start, []
-        for depth in range(1, high + 1):
+        level, found = start, [start] if low == 0 else []
+        for depth in count(1) if high is None else range(1, high + 1):
             step = edges if depth == 1 or not rising else edges.withColumnRenamed("_key", "_next_key")
             level = level.join(step, F.col("_at") == F.col("frm"))
             pair = F.struct(F.least("frm", "to").alias("a"), F.greatest("frm", "to").alias("b")) if direction == BOTH else F.struct(F.col("frm").alias("a"), F.col("to").alias("b")) if direction == OUT else F.struct(F.col("to").alias("a"), F.col("frm").alias("b"))
@@ -133,9 +137,13 @@ class Bindings:
             if rising and depth > 1:
                 level = level.where(F.col("_next_key") >= F.col("_key")).drop("_key").withColumnRenamed("_next_key", "_key")
             level = level.withColumns({"_pairs": F.array_append("_pairs", F.col("_pair")), "_rels": F.array_append("_rels", F.col("pos")), "_nodes": F.array_append("_nodes", F.col("to")), "_at": F.col("to")}).drop("frm", "to", "pos", "_pair")
+            if high is None:
+                level = materialize(level, "trail", True)
+                if is_empty(level):
+                    break
             if depth >= low:
                 found.append(level)
-        out = reduce(lambda a, b: a.unionByName(b), found)
+        out = reduce(lambda a, b: a.unionByName(b, True), found or [level])
         out = out.where(F.col(to) == F.col("_at")).drop("_at") if to in self.df.columns else out.withColumnRenamed("_at", to)
         if rels:
             out = out.withColumn(rels, F.col("_rels"))
@@ -146,14 +154,28 @@ class Bindings:
         return self._with(self._distinct_from_earlier(out, kinds, name, True), (*self.hops, (kinds, name, True)))
 
     def reach(self, frm: str, types: str | list[str] | None, to: str, low: int = 0, high: int | None = None, direction: str = OUT, each: Column | None = None) -> Bindings:
-        """Distinct nodes that can be reached in low.. steps, one row for each: the quantifiers `*`, `+`, `{n,}`."""
+        """Distinct nodes that can be reached in low.. steps, one row for each: the quantifiers `*`, `+`, `{n,}`.
+
+        Relationships that earlier hops of the clause have used are left out. A
+        later hop over the same types needs the trails themselves: see `trail`.
+        """
+        kinds = None if types is None else {types} if isinstance(types, str) else set(types)
+        taken = [] if self.repeatable else [F.col(p) if many else F.array(p) for other, p, many in self.hops if p and _meet(kinds, other)]
+        done = (*self.hops, (kinds, None, False))
+        if taken:
+            edges = self.graph.rel_scan(types, direction, each).select("frm", "to")
+            rows = self.df.withColumn("_from", F.struct(F.col(frm).alias("node"), F.concat(*taken).alias("taken")))
+            starts = rows.where(F.col(frm).isNotNull()).select(F.col("_from").alias("start"), F.col(frm).alias("node")).distinct()
+            ends = reachable(starts, edges, low, high, ~F.array_contains("start.taken", _pair("frm", "to", direction)))
+            out = rows.join(ends.select(F.col("start").alias("_from"), F.col("node").alias("_end")), "_from").drop("_from")
+            return self._with(out.where(F.col(to) == F.col("_end")).drop("_end") if to in self.df.columns else out.withColumnRenamed("_end", to), done)
         starts = self.df.select(F.col(frm).alias("start")).where("start is not null").distinct()
         edges = self.graph.rel_scan(types, direction, each).select("frm", "to")
         ends = reachable(starts, edges, low, high).select(F.col("start").alias("_start"), F.col("node").alias("_end"))
         on = F.col(frm) == F.col("_start")
         if to in self.df.columns:
-            return self._with(self.df.join(ends, on & (F.col(to) == F.col("_end"))).drop("_start", "_end"))
-        return self._with(self.df.join(ends, on).drop("_start").withColumnRenamed("_end", to))
+            return self._with(self.df.join(ends, on & (F.col(to) == F.col("_end"))).drop("_start", "_end"), done)
+        return self._with(self.df.join(ends, on).drop("_start").withColumnRenamed("_end", to), done)
 
     # Clauses
 
@@ -173,7 +195,7 @@ class Bindings:
 
     def next_clause(self) -> Bindings:
         """From here on relationships may be used again."""
-        return self._with(self.df.drop(*[p for _, p, _ in self.hops]), ())
+        return self._with(self.df.drop(*[p for _, p, _ in self.hops if p]), ())
 
     def _keys(self, on: list[str], repeatable: bool | None = None) -> Bindings:
         keys = self.df.select(*on)

@@ -43,3 +43,27 @@ def profile(df: DataFrame) -> dict[str, int]:
     seen = Observation("profile")
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
     return seen.get
+
+
+def profile_operators(df: DataFrame) -> DataFrame:
+    """Run the query for its effort alone: step, depth, operator, rows, in the order of the plan; rows is null where an operator does not count them."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    found: list[tuple] = []
+
+    def walk(node, depth: int) -> None:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan(), depth)
+        if name.endswith("QueryStage"):
+            return walk(node.plan(), depth)
+        if name != "InputAdapter" and not name.startswith("WholeStageCodegen"):
+            rows = node.metrics().get("numOutputRows")
+            found.append((len(found), depth, name, rows.get().value() if rows.isDefined() else None))
+            depth += 1
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), depth)
+
+    walk(execution.executedPlan(), 0)
+    return df.sparkSession.createDataFrame(found, "step int, depth int, operator string, rows long")

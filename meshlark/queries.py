@@ -13,6 +13,7 @@ from meshlark.functions import temporal as TM
 from meshlark.graph import BOTH, IN, OUT, PropertyGraph, has_label
 from meshlark.operators import analytics, kernels, search, traversal
 from meshlark.operators.aggregate import aggregate
+from meshlark.operators.cluster import scratch_path
 from meshlark.plans import sets
 from meshlark.plans.match import match, over
 from meshlark.sources.tables import NUMBER, SPACE, commerce_graph, key_of
@@ -657,3 +658,48 @@ def shortest_weighted(spark, d):
     m = match(g).node("c", "Customer", F.col("key") <= 20).hop("c", "PLACED", "o").hop("o", "CONTAINS", "p")
     ways = traversal.any_shortest(m.df.select(F.col("c").alias("start"), F.col("p").alias("target")), edges, weight="quantity")
     return ways.where("size(nodes) = 3").select("start", "target", "cost")
+
+
+# Relationships of ways, an index, counts that meet, types and durations
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_partkey, l_quantity, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_custkey <= 20),
+best AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY l_quantity, l_orderkey, l_linenumber) AS r FROM l)
+SELECT CAST(o_custkey AS BIGINT) AS customer, CAST(l_partkey AS BIGINT) AS part, l_quantity AS quantity, 2 AS rels FROM best WHERE r = 1""")
+def shortest_rels(spark, d):
+    g = commerce_graph(spark, d)
+    edges = g.rel_scan(["PLACED", "CONTAINS"]).select("frm", "to", "pos", "quantity")
+    m = match(g).node("c", "Customer", F.col("key") <= 20).hop("c", "PLACED", "o").hop("o", "CONTAINS", "p")
+    ways = traversal.any_shortest(m.df.select(F.col("c").alias("start"), F.col("p").alias("target")), edges, weight="quantity", rels=True)
+    last = g.rel_scan("CONTAINS").select(F.col("frm").alias("_o"), F.col("to").alias("target"), F.col("pos").alias("_last"), "quantity")
+    found = ways.select("start", "target", "rels", F.col("nodes")[1].alias("_o"), F.element_at("rels", -1).alias("_last")).join(last, ["_o", "target", "_last"])
+    return found.select(_key("start").alias("customer"), _key("target").alias("part"), "quantity", F.size("rels").alias("rels"))
+
+
+@query(SQL["search_bm25"])
+def search_index(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").where("text is not null")
+    index = search.TextIndex.write(docs, "doc_id", "text", scratch_path(spark, "text-index"))
+    return index.ranked("Idiot, pathetic").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(SQL["hop_cycle"])
+def joined_cycle(spark, d):
+    g = commerce_graph(spark, d)
+    sold = match(g).node("n", "Nation", props=("name",)).hop("n", "IN_NATION", "c", IN).hop("c", "PLACED", "o").hop("o", "CONTAINS", "p").df.select("n_name", "p")
+    made = match(g).node("n", "Nation", props=("name",)).hop("n", "IN_NATION", "s", IN).hop("s", "SUPPLIED", "p").df.select("n_name", "p")
+    return kernels.joined_counts(sold, made, ["n_name", "p"]).groupBy(F.col("n_name").alias("nation")).agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS customer, count(DISTINCT s_suppkey) AS suppliers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+def reach_after_hop(spark, d):
+    m = match(commerce_graph(spark, d)).node("c", "Customer").hop("c", "IN_NATION", "n").reach("n", "IN_NATION", "s", 1, 1, IN).node("s", "Supplier")
+    return m.df.groupBy(_key("c").alias("customer")).agg(F.count(F.lit(1)).alias("suppliers"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS key, 3 AS months, -6 AS days, CAST(3 * (o_orderkey % 100) // 2 AS BIGINT) AS millis, CAST(o_orderkey % 2 = 0 AS BOOLEAN) AS even, true AS typed, CAST(o_orderkey AS VARCHAR) AS text FROM orders""")
+def durations_and_types(spark, d):
+    o = commerce_graph(spark, d).node_scan("Order")
+    one = TM.add_durations(TM.duration(months=1, days=-2), TM.duration(milliseconds=F.col("key") % 100))
+    three = TM.scale_duration(one, 3)
+    return o.select("key", three["months"].cast("int").alias("months"), three["days"].cast("int").alias("days"), TM.divide_duration(three, 2)["millis"].alias("millis"), (F.col("key") % 2 == 0).alias("even"), S.is_typed(F.col("key"), "integer").alias("typed"), S.element_id(F.col("key")).alias("text"))

@@ -1,6 +1,7 @@
 """Algorithms and kernels with known values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,32 @@ def test_geo(spark):
     assert {r.name for r in search.within_box(towns, "lat", "lon", (-30, 170), (0, -170)).collect()} == {"Fiji"}
     km = towns.where("name = 'Lyon'").select(search.haversine_km(F.col("lat"), F.col("lon"), *at).alias("km")).first().km
     assert km == pytest.approx(391.5, abs=1)
+
+
+def test_relationships_of_shortest_ways(spark):
+    twice = graphs.plain(spark, 4, [(0, 1, 2.0), (0, 1, 1.0), (1, 3, 1.0), (0, 2, 9.0), (2, 3, 1.0)], "src long, dst long, w double")
+    edges = twice.rel_scan("E").select("frm", "to", "pos", "w")
+    at = {(r.src, r.dst, r.w): r.pos for r in twice.rels.collect()}
+    pairs = spark.createDataFrame([(0, 3), (2, 2)], "start long, target long")
+    light = {(r.start, r.target): r.rels for r in traversal.any_shortest(pairs, edges, weight="w", rels=True).collect()}
+    assert light == {(0, 3): [at[0, 1, 1.0], at[1, 3, 1.0]], (2, 2): []}
+    every = sorted((r.nodes, r.rels) for r in traversal.all_shortest(pairs, edges, rels=True).collect())
+    first = min(at[0, 1, 1.0], at[0, 1, 2.0])
+    assert every == [([0, 1, 3], [first, at[1, 3, 1.0]]), ([0, 2, 3], [at[0, 2, 9.0], at[2, 3, 1.0]]), ([2], [])]
+
+
+def test_text_index_answers_as_the_search_does(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "lazy dog, lazy DOG"), (3, "quick dog"), (4, ""), (5, None)], "id long, t string")
+    search.TextIndex.write(docs, "id", "t", f"file://{tmp_path}/index", buckets=4)
+    index = search.TextIndex.open(spark, f"file://{tmp_path}/index")
+    for asked in ("quick dog", "lazy lazy dog", "absent", ""):
+        want = {r.id: round(r.score, 9) for r in search.search_ranked(docs.fillna(""), "id", "t", asked).collect()} if asked else {}
+        assert {r.key: round(r.score, 9) for r in index.ranked(asked).collect()} == want
+        assert sorted(r.key for r in index.having_all(asked).collect()) == sorted(r.id for r in search.search_all(docs, "t", asked).collect())
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", index.hits(["dog"])._jdf.queryExecution().toString())
+    assert "bucket#" in filters.group(1)
+
+
+def test_joined_counts(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (1,), (1,), (3,)], "k int")
+    assert [tuple(r) for r in kernels.joined_counts(a, b, ["k"]).collect()] == [(1, 6)]

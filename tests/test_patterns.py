@@ -72,7 +72,7 @@ def test_trails(g):
     assert all(r.m == r.n + 1 for r in longest.collect())
     assert a.trail("a", "KNOWS", "b", 1, 4, acyclic=True).df.where("b = 0").count() == 0
     with pytest.raises(ValueError):
-        a.trail("a", "KNOWS", "b", 0, 2)
+        a.trail("a", "KNOWS", "b", 3, 2)
 
 
 def test_trail_and_hop_do_not_share_a_relationship(spark):
@@ -161,3 +161,29 @@ def test_edits(spark, g):
     assert [r.since for r in since.rels.orderBy("pos").limit(2).collect()] == [2001, None]
     assert {r.degree for r in g.degrees("WORKS_AT").collect()} == {0, 1}
     assert g.average_degree("KNOWS", label="Person").collect()[0].avg_degree == 7 / 4
+
+
+def test_trails_without_end(g):
+    a = match(g).node("a", "Person", name="Alice")
+    assert rows(a.trail("a", "KNOWS", "b", 1, None).select("b")) == rows(a.trail("a", "KNOWS", "b", 1, 7).select("b"))
+    assert rows(a.trail("a", "WORKS_AT", "b", 0, None).select("b")) == [(0,), (4,)]
+    assert rows(a.trail("a", "NONE", "b", 1, None).select("b")) == []
+
+
+def test_reach_leaves_out_relationships_of_the_clause(spark):
+    line = graphs.plain(spark, 4, [(0, 1), (1, 2), (2, 0), (2, 3)])
+    m = match(line).node("a", name="n0").hop("a", "E", "b")
+    assert rows(m.reach("b", "E", "c", 1).select("c")) == [(0,), (2,), (3,)]
+    assert rows(m.reach("b", "OTHER", "c", 0).select("c")) == [(1,)]
+    assert rows(m.next_clause().reach("b", "E", "c", 1).select("c")) == [(0,), (1,), (2,), (3,)]
+    assert rows(match(line, repeatable=True).node("a", name="n0").hop("a", "E", "b").reach("b", "E", "c", 1).select("c")) == [(0,), (1,), (2,), (3,)]
+    with pytest.raises(ValueError):
+        match(line).node("a", name="n0").reach("a", "E", "b", 1).hop("b", "E", "c")
+    kept = match(line).node("a", name="n0").trail("a", "E", "b", 1, None).hop("b", "E", "c")
+    assert rows(kept.select("b", "c")) == [(0, 1)] * 0 + [(1, 2), (2, 0), (2, 3)]
+    assert match(line).node("a", name="n0").reach("a", "E", "b", 1).next_clause().hop("b", "E", "c").df.count() == 4
+
+
+def test_rows_of_each_operator(spark):
+    found = sets.profile_operators(spark.range(10).where("id > 6").groupBy((F.col("id") % 2).alias("k")).count()).collect()
+    assert [r.rows for r in found if r.operator == "Filter"] == [3] and [r.rows for r in found if r.operator == "HashAggregate"][0] == 2

@@ -101,3 +101,9 @@ def test_streamed_relationships(spark, tmp_path):
     q = match_hop(stream, g, ("name",)).writeStream.format("memory").queryName("hops").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("hops").where("name = 'Alice'").count() == 3
+
+
+def test_graphalytics_parameters(spark, tmp_path):
+    (tmp_path / "x.properties").write_text("# a comment\ngraph.x.directed = True\ngraph.x.algorithms = bfs, PR ,\ngraph.x.bfs.source-vertex = 7\ngraph.x.pr.damping-factor=0.85\ngraph.x.cdlp.max-iterations = ten\nother=1\n")
+    assert graphalytics.read_parameters(spark, f"file://{tmp_path}/x") == {"directed": True, "algorithms": ["bfs", "pr"], "bfs.source-vertex": 7, "pr.damping-factor": 0.85}
+    assert graphalytics.read_parameters(spark, f"file://{tmp_path}/none") == {}
