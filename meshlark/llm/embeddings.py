@@ -9,14 +9,23 @@ bound stays below the threshold are done, the few others take in more
 dimensions, and so on. Whole tiles are passed over when the ranges of their
 leading coordinates already keep every pair below the threshold.
 
-Rows are dealt by hash to blocks of about BLOCK_ROWS rows and pairs of blocks to
-the cells of a triangular grid, so any two rows meet in one cell and no cell
-holds more than two blocks, however alike the vectors are. A cell returns a row
-for each vector that has a link there: how many, and a vector it is connected
-to; pairs are never written out. The comparison is exact: pairs within 1e-9 of
-the threshold are decided on the original components in double precision.
-
-The sample for the axes has at most SAMPLE rows; axes change the speed only.
+Before anything is shuffled, the medians of a sample cut the leading axes into
+regions, and a pass over all rows takes the box of each region's leading
+coordinates and its longest suffix. By the same bound two regions whose boxes
+keep every pair below the threshold are never dealt to each other. Rows of a
+region go by hash to blocks of about BLOCK_ROWS rows and pairs of blocks of
+regions that can meet to the cells of a triangular grid, so no cell holds more
+than two blocks, however alike the vectors are. What is dealt falls where the
+leading axes tell vectors apart; where no axis stands out, as with random
+directions, all regions can meet and the work is the square of the rows. A cell
+returns a row for each vector that has a link there: how many, and a vector it
+is connected to; pairs are never written out. The comparison is exact: pairs
+within 1e-9 of the threshold are decided on the original components in double
+precision.
+
+The sample for axes and cuts has at most SAMPLE rows; they change the speed only.
+The driver holds a row for each region, at most one for REGION_ROWS sampled rows
+and one for each length of vectors.
 Vectors that are null, zero or hold null or non-finite components, and vectors
 of different lengths, link with nothing. Null ids are returned; a component
 without any id has a null component_id, and kept is then false. Repeated rows
@@ -42,6 +51,8 @@ BLOCK_ROWS = 8192
 LEAST_BLOCKS = 6
 TILE = 512
 SAMPLE = 4096
+REGION_ROWS = 16
+LEAD = 8
 NEAR = 1e-9
 
 
@@ -61,14 +72,91 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if v is None else v.tobytes() for v in vectors], pa.binary()), pa.array([0 if v is None else len(v) for v in vectors], pa.int32())], ["vec_id", "vector", "dim"])
 
 
-def principal_axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Rotation for each dimension met in the sample, axes of most variance first."""
+class Space:
+    """Principal axes for vectors of one length, axes of most variance first, and the cuts of the regions."""
+
+    def __init__(self, axes: np.ndarray, cuts: tuple[np.ndarray, ...] = ()):
+        self.axes, self.cuts = axes, cuts
+
+    @classmethod
+    def of_sample(cls, raw: np.ndarray, levels: int) -> Space:
+        unit = _unit(raw)
+        axes = np.ascontiguousarray(np.linalg.eigh(unit.T @ unit)[1][:, ::-1])
+        lead, cuts = unit @ axes, []
+        levels = min(levels, raw.shape[1], max(0, int(np.log2(len(raw) / REGION_ROWS))) if len(raw) >= REGION_ROWS else 0)
+        region = np.zeros(len(raw), np.int64)
+        for level in range(levels):
+            cut = np.array([np.median(lead[region == r, level]) if (region == r).any() else 0.0 for r in range(1 << level)])
+            cuts.append(cut)
+            region = region * 2 + (lead[:, level] > cut[region])
+        return cls(axes, tuple(cuts))
+
+    def regions(self, lead: np.ndarray) -> np.ndarray:
+        region = np.zeros(len(lead), np.int64)
+        for level, cut in enumerate(self.cuts):
+            region = region * 2 + (lead[:, level] > cut[region])
+        return region
+
+
+def spaces(vectors: DataFrame, blocks: int, sample: int = SAMPLE) -> dict[int, Space]:
+    """A space for each length met in the sample, with about as many regions as blocks."""
     rows = vectors.where("dim > 0").orderBy(F.xxhash64("row_id"), "row_id").limit(sample).select("vector").collect()
     by_dim: dict[int, list[np.ndarray]] = {}
     for r in rows:
         v = np.frombuffer(r["vector"])
-        by_dim.setdefault(len(v), []).append(_unit(v[None, :])[0])
-    return {d: np.ascontiguousarray(np.linalg.eigh(np.array(v).T @ np.array(v))[1][:, ::-1]) for d, v in by_dim.items()}
+        by_dim.setdefault(len(v), []).append(v)
+    return {d: Space.of_sample(np.array(v), int(np.ceil(np.log2(blocks)))) for d, v in by_dim.items()}
+
+
+def _turned(batch: pa.RecordBatch, found: dict[int, Space]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """dim, rows, turned unit vectors, regions for each length in a batch of (vector, dim, ...)."""
+    dims, vectors = batch.column("dim").to_numpy(), batch.column("vector")
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        raw = np.frombuffer(b"".join(vectors.take(pa.array(rows)).to_pylist())).reshape(-1, dim)
+        space = found.get(int(dim)) or Space(np.eye(dim))
+        unit = _unit(raw) @ space.axes
+        yield int(dim), rows, unit, space.regions(unit)
+
+
+def region_boxes(vectors: DataFrame, found) -> list:
+    """dim, region, n, low, high, rest: the box of all rows of each region. found: broadcast spaces."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for dim, _, unit, region in _turned(batch, found.value):
+                lead = np.zeros((len(unit), LEAD))
+                lead[:, : min(LEAD, dim)] = unit[:, :LEAD]
+                rest = np.sqrt((unit[:, LEAD:] ** 2).sum(1))
+                for r in np.unique(region):
+                    own = region == r
+                    out.append({"dim": dim, "region": int(r), "n": int(own.sum()), "low": lead[own].min(0).tolist(), "high": lead[own].max(0).tolist(), "rest": float(rest[own].max())})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("dim", pa.int32()), ("region", pa.int64()), ("n", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("rest", pa.float64())]))
+
+    parts = vectors.select("vector", "dim").mapInArrow(run, "dim int, region long, n long, low array<double>, high array<double>, rest double")
+    low = F.array(*[F.min(F.col("low")[i]) for i in range(LEAD)]).alias("low")
+    high = F.array(*[F.max(F.col("high")[i]) for i in range(LEAD)]).alias("high")
+    return parts.groupBy("dim", "region").agg(F.sum("n").alias("n"), low, high, F.max("rest").alias("rest")).orderBy("dim", "region").collect()
+
+
+def block_plan(boxes: list, threshold: float, block_rows: int) -> list[tuple]:
+    """dim, region, first, blocks, partners: a region's blocks, and the ranges of blocks that its rows may link with. Regions of one length only meet."""
+    out = []
+    for dim in sorted({b["dim"] for b in boxes}):
+        own = [b for b in boxes if b["dim"] == dim]
+        low, high, rest = np.array([b["low"] for b in own]), np.array([b["high"] for b in own]), np.array([b["rest"] for b in own])
+        blocks = np.array([-(-b["n"] // block_rows) for b in own])
+        if blocks.sum() < LEAST_BLOCKS:
+            blocks = -(-blocks * LEAST_BLOCKS // blocks.sum())
+        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+        for r in range(len(own)):
+            corners = np.maximum.reduce([low[r] * low, low[r] * high, high[r] * low, high[r] * high])
+            meet = corners.sum(1) + rest[r] * rest >= threshold - NEAR
+            meet[r] = True
+            out.append((dim, own[r]["region"], int(first[r]), int(blocks[r]), [(int(first[q]), int(first[q] + blocks[q] - 1)) for q in np.flatnonzero(meet)]))
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -176,10 +264,23 @@ def cell_links(left: np.ndarray, right: np.ndarray | None, axes: np.ndarray, thr
 
 def vector_links(vectors: DataFrame, n: int, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """row_id, links, other (a row it is connected to, or itself), a row for each cell in which a vector has links. vectors: row_id, vector, dim; n: their number."""
-    blocks = max(LEAST_BLOCKS, -(-n // block_rows))
-    axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(vectors))
-    dealt = vectors.where("dim > 0").withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spark = vectors.sparkSession
+    usable_rows = vectors.where("dim > 0")
+    found = spark.sparkContext.broadcast(spaces(vectors, max(LEAST_BLOCKS, -(-n // block_rows))))
+    plan = block_plan(region_boxes(usable_rows, found), threshold, block_rows)
+    plan = spark.createDataFrame(plan, "dim int, region long, first long, blocks long, partners array<struct<first:bigint,last:bigint>>")
+
+    def place(batches):
+        for batch in batches:
+            regions = np.zeros(batch.num_rows, np.int64)
+            for _, rows, _, region in _turned(batch, found.value):
+                regions[rows] = region
+            yield batch.append_column("region", pa.array(regions))
+
+    placed = usable_rows.select("row_id", "vector", "dim").mapInArrow(place, "row_id long, vector binary, dim int, region long")
+    dealt = placed.join(F.broadcast(plan), ["dim", "region"])
+    dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("row_id"), F.col("blocks"))).select("dim", "block", "row_id", "vector", F.explode("partners").alias("range"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence("range.first", "range.last")))
     dealt = dealt.select("dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row_id", "vector")
 
     def run(key, table):
@@ -188,12 +289,12 @@ def vector_links(vectors: DataFrame, n: int, threshold: float = THRESHOLD, block
         raw = np.frombuffer(b"".join(table.column("vector").to_pylist())).reshape(-1, dim)
         first = table.column("block").to_numpy() == low
         ids = np.concatenate([ids[first], ids[~first]])
-        turn = axes.value.get(dim)
+        space = found.value.get(dim)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if low == high or first.any() and not first.all():
-            links, label = cell_links(raw[first], None if low == high else raw[~first], np.eye(dim) if turn is None else turn, threshold)
-        found = links > 0
-        return pa.table({"row_id": ids[found], "links": links[found], "other": ids[label[found]]})
+            links, label = cell_links(raw[first], None if low == high else raw[~first], np.eye(dim) if space is None else space.axes, threshold)
+        linked = links > 0
+        return pa.table({"row_id": ids[linked], "links": links[linked], "other": ids[label[linked]]})
 
     return dealt.groupBy("dim", "low", "high").applyInArrow(run, "row_id long, links long, other long")
 

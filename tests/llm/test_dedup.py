@@ -221,6 +221,28 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_regions_that_cannot_link_are_not_dealt_to_each_other(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 24)) * np.array([4.0] * 4 + [0.3] * 20)
+    x = np.repeat(centres, 40, 0) + rng.normal(size=(480, 24)) * rng.choice([0.02, 0.25], size=(480, 1))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = df.mapInArrow(embeddings._read, "vec_id long, vector binary, dim int").withColumnRenamed("vec_id", "row_id")
+    found = spark.sparkContext.broadcast(embeddings.spaces(vectors, 24))
+    plan = embeddings.block_plan(embeddings.region_boxes(vectors, found), 0.9, 20)
+    blocks = sum(p[3] for p in plan)
+    dealt = sum(p[3] * sum(last - first + 1 for first, last in p[4]) for p in plan)
+    assert blocks >= 24 and dealt < 0.6 * blocks * blocks
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    roots = groups_of(range(480), lambda a, b: near[a, b])
+    least = {}
+    for i in range(480):
+        least.setdefault(roots[i], i)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df, block_rows=20).collect())
+    assert got == [(i, int(near[i].sum()), least[roots[i]]) for i in range(480)]
+
+
 def test_cosine_at_the_threshold_is_decided_in_full_precision():
     a = np.array([[1.0, 0.0], [0.9, np.sqrt(1 - 0.81)], [0.8999999, np.sqrt(1 - 0.8999999**2)]])
     links, _ = embeddings.cell_links(a, None, np.eye(2), 0.9)
